@@ -1,13 +1,18 @@
-"""Bring per-group statistics to rows."""
+"""Bind values: inside an expression, and per-group statistics to rows."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, also when lambdas in it use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def same(left: DataFrame, right: DataFrame, by: Sequence[str], prefix: str) -> Column:
     """Null-safe equality of ``by`` against the prefixed copies in ``right``."""
     condition = F.lit(True)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandwork.functions.attach import let
+
 
 def window_label(value: Column, low: float, high: float) -> Column:
     """0 at or below ``low``, 1 at or above ``high``, NULL between them.
@@ -39,6 +41,9 @@ def argmax(scores: Column) -> Column:
 
 def cross_entropy(logits: Column, label: Column) -> Column:
     """-log softmax(logits)[label], shifted by the maximum against overflow."""
-    top = F.array_max(logits)
-    total = F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
-    return F.log(total) + top - F.get(logits, label)
+
+    def loss(top: Column) -> Column:
+        total = F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
+        return F.log(total) + top - F.get(logits, label)
+
+    return let(F.array_max(logits), loss)

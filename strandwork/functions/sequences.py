@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandwork.functions.attach import let
+
 AMBIGUOUS = "[UZOB]"  # fixed value: residues that carry no single identity
 
 
@@ -14,12 +16,15 @@ def kgrams(sequence: Column, k: int = 3) -> Column:
     The text is split into characters once, so the cost is linear in its length
     (``substring`` per position would rescan the string every time).
     """
-    chars = F.split(sequence, "")
     count = F.greatest(F.length(sequence) - (k - 1), F.lit(0))
-    grams = F.transform(
-        F.slice(chars, F.lit(1), count),
-        lambda c, i: F.concat(c, *[F.get(chars, i + j) for j in range(1, k)]),
-    )
+
+    def slide(chars: Column) -> Column:
+        return F.transform(
+            F.slice(chars, F.lit(1), count),
+            lambda c, i: F.concat(c, *[F.get(chars, i + j) for j in range(1, k)]),
+        )
+
+    grams = let(F.split(sequence, ""), slide)
     return F.array_distinct(F.when(count > 0, grams).otherwise(F.array().cast("array<string>")))
 
 
@@ -67,8 +72,12 @@ def encoded(
         ids,
         F.array(*[F.lit(v) for v in [end] if v is not None]).cast("array<int>"),
     )
-    missing = F.lit(length) - F.size(framed)
-    return F.struct(
-        F.concat(framed, F.array_repeat(F.lit(pad), missing)).alias("input_ids"),
-        F.concat(F.array_repeat(F.lit(1), F.size(framed)), F.array_repeat(F.lit(0), missing)).alias("attention_mask"),
-    )
+
+    def padded(row: Column) -> Column:
+        missing = F.lit(length) - F.size(row)
+        return F.struct(
+            F.concat(row, F.array_repeat(F.lit(pad), missing)).alias("input_ids"),
+            F.concat(F.array_repeat(F.lit(1), F.size(row)), F.array_repeat(F.lit(0), missing)).alias("attention_mask"),
+        )
+
+    return let(framed, padded)

@@ -87,8 +87,8 @@ scaled AS (SELECT o_orderkey, split, (o_totalprice - m) / s AS z, m, s FROM grou
 def _sequences(source: str = "SELECT doc_id, source, replace(text, ' ', '') AS seq FROM documents") -> str:
     return f"""seqs AS ({source}),
 chars AS (SELECT doc_id, string_split(seq, '') AS c FROM seqs WHERE length(seq) >= 3),
-spots AS (SELECT doc_id, c, unnest(range(1, len(c) - 1)) AS i FROM chars),
-grams AS (SELECT DISTINCT doc_id, c[i] || c[i + 1] || c[i + 2] AS gram FROM spots)"""
+spots AS (SELECT doc_id, unnest(c) AS x, unnest(c[2:]) AS y, unnest(c[3:]) AS z FROM chars),
+grams AS MATERIALIZED (SELECT DISTINCT doc_id, x || y || z AS gram FROM spots WHERE z IS NOT NULL)"""
 
 
 def _signatures(source: str | None = None) -> str:
@@ -96,7 +96,7 @@ def _signatures(source: str | None = None) -> str:
     head = _sequences(source) if source else _sequences()
     return f"""{head},
 prints AS (
-  SELECT DISTINCT doc_id, ((unicode(gram) % {PRIME} * {BASE} + unicode(substr(gram, 2))) % {PRIME} * {BASE}
+  SELECT DISTINCT doc_id, ((unicode(gram)::BIGINT % {PRIME} * {BASE} + unicode(substr(gram, 2))) % {PRIME} * {BASE}
     + unicode(substr(gram, 3))) % {PRIME} AS h FROM grams),
 family AS (SELECT unnest(range(100)) AS p, unnest({a}::BIGINT[]) AS a, unnest({b}::BIGINT[]) AS b),
 minima AS MATERIALIZED (SELECT doc_id, p, min((a * h::BIGINT + b) % {PRIME}) AS m FROM prints, family GROUP BY doc_id, p)"""
