@@ -28,6 +28,28 @@ def kgrams(sequence: Column, k: int = 3) -> Column:
     return F.array_distinct(F.when(count > 0, grams).otherwise(F.array().cast("array<string>")))
 
 
+def gram_codes(sequence: Column, k: int = 3) -> Column:
+    """The distinct k-grams as longs, which are smaller to move and faster to intersect.
+
+    Up to k = 3 the code points are packed (21 bits each), which is one-to-one;
+    longer grams are hashed to 64 bits.
+    """
+    if k > 3:
+        return F.transform(kgrams(sequence, k), lambda g: F.xxhash64(g))
+    count = F.greatest(F.length(sequence) - (k - 1), F.lit(0))
+
+    def slide(points: Column) -> Column:
+        def pack(c: Column, i: Column) -> Column:
+            for j in range(1, k):
+                c = F.shiftleft(c, 21).bitwiseOR(F.get(points, i + j))
+            return c
+
+        return F.transform(F.slice(points, F.lit(1), count), pack)
+
+    codes = let(F.transform(F.split(sequence, ""), lambda c: F.ascii(c).cast("bigint")), slide)
+    return F.array_distinct(F.when(count > 0, codes).otherwise(F.array().cast("array<bigint>")))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Exact Jaccard of two arrays without repeats; NULL when both are empty."""
     shared = F.size(F.array_intersect(a, b))
