@@ -52,8 +52,11 @@ def gram_codes(sequence: Column, k: int = 3) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Exact Jaccard of two arrays without repeats; NULL when both are empty."""
-    shared = F.size(F.array_intersect(a, b))
-    return F.try_divide(shared.cast("double"), F.size(a) + F.size(b) - shared)
+
+    def share(common: Column) -> Column:
+        return F.try_divide(common.cast("double"), F.size(a) + F.size(b) - common)
+
+    return let(F.size(F.array_intersect(a, b)), share)
 
 
 def normalized(sequence: Column, *, drop_first: bool = True) -> Column:
