@@ -28,20 +28,26 @@ def linspace(low: Column, high: Column, count: int) -> Column:
     )
 
 
-def locate(value: Column, edges: Column, count: int, *, right: bool = False) -> Column:
-    """How many edges are <= ``value`` (or < ``value`` with ``right``)."""
-    low, high = F.get(edges, F.lit(0)), F.get(edges, F.lit(count - 1))
-    share = F.coalesce(F.try_divide(value - low, high - low), F.lit(0.0))
-    near = F.floor(F.least(F.greatest(share * (count - 1), F.lit(0.0)), F.lit(float(count - 1)))).cast("int")
+def locate(
+    df: DataFrame, value: Column, edges: Column, count: int, *, into: str, right: bool = False
+) -> DataFrame:
+    """Add how many edges are <= ``value`` (or < ``value`` with ``right``); NULL for NULL and NaN.
+
+    The division guesses the edge below the value; rounding can put the guess one
+    off, which the comparison with that edge and the next one settles. The guess is a
+    column of its own so that it is computed once per row.
+    """
 
     def passed(edge: Column) -> Column:
         return edge < value if right else edge <= value
 
-    index = F.when(~passed(F.get(edges, near)), near).when(
-        (near + 1 < count) & passed(F.get(edges, near + 1)), near + 2
-    ).otherwise(near + 1)
-    flat = F.when(passed(low), F.lit(count)).otherwise(0)
-    return F.when(usable(value), F.when(low == high, flat).otherwise(index)).cast("int")
+    low, high = F.get(edges, F.lit(0)), F.get(edges, F.lit(count - 1))
+    # Equal edges (a constant column): either all of them are passed or none.
+    share = F.coalesce(F.try_divide(value - low, high - low), F.when(passed(low), 1.0).otherwise(0.0))
+    guess = F.floor(F.least(F.greatest(share * (count - 1), F.lit(0.0)), F.lit(float(count - 1)))).cast("int")
+    near = F.col("_near")
+    step = F.when(~passed(F.get(edges, near)), 0).when(passed(F.get(edges, near + 1)), 2).otherwise(1)
+    return df.withColumn("_near", F.when(usable(value), guess)).withColumn(into, near + step).drop("_near")
 
 
 def label_edges(df: DataFrame, column: str, count: int, by: Sequence[str] = ()) -> DataFrame:
@@ -54,7 +60,7 @@ def label_edges(df: DataFrame, column: str, count: int, by: Sequence[str] = ())
 def digitize(df: DataFrame, column: str, edges: DataFrame, count: int, *, by: Sequence[str] = (), into: str = "bin"):
     """Bins 1..``count``: bin i is [edge i, edge i+1), the last bin holds only the maximum."""
     placed = attach(df, edges.select(*by, F.col("edges").alias("_edges")), by)
-    return placed.withColumn(into, locate(F.col(column), F.col("_edges"), count)).drop("_edges")
+    return locate(placed, F.col(column), F.col("_edges"), count, into=into).drop("_edges")
 
 
 def cut_edges(df: DataFrame, column: str, bins: int, by: Sequence[str] = ()) -> DataFrame:

@@ -7,12 +7,11 @@ from math import erfc, sqrt
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-def _cdf(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: 0.5 * erfc(-v / sqrt(2.0)), na_action="ignore")
 
 
 def normal_cdf(x: Column) -> Column:
-    return F.pandas_udf(_cdf, T.DoubleType())(x)
+    # Nested, so that it is shipped by value and workers need no installed package.
+    def cdf(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: 0.5 * erfc(-v / sqrt(2.0)), na_action="ignore").astype("float64")
+
+    return F.pandas_udf(cdf, "double")(x)

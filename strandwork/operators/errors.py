@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandwork.functions.attach import attach, join_by
-from strandwork.functions.binning import cut_edges, label_edges, locate, usable
+from strandwork.functions.binning import cut_edges, digitize, label_edges, locate, usable
 from strandwork.functions.gaussian import normal_cdf
 from strandwork.functions.labels import residual
 
@@ -28,7 +28,7 @@ def error_profile(
     frame = cut_edges(df, truth, bins, by)
     edges = frame.select(*by, F.col("edges").alias("_edges"))
     rows = attach(df.filter(usable(F.col(truth))).select(*by, truth, error), edges, by)
-    rows = rows.withColumn("bin", locate(F.col(truth), F.col("_edges"), bins + 1, right=True))
+    rows = locate(rows, F.col(truth), F.col("_edges"), bins + 1, into="bin", right=True)
     sums = rows.groupBy(*by, "bin").agg(
         F.count(F.lit(1)).alias("n"), F.avg(error).alias("mean_error"), F.stddev_samp(error).alias("std_error")
     )
@@ -172,6 +172,5 @@ def joint_bins(
     """Counts of the joint distribution on equal-width bins of both columns."""
     rows = df.filter(usable(F.col(first)) & usable(F.col(second)))
     for column, name in ((first, "bin_1"), (second, "bin_2")):
-        cut = label_edges(rows, column, edges, by).select(*by, F.col("edges").alias("_edges"))
-        rows = attach(rows, cut, by).withColumn(name, locate(F.col(column), F.col("_edges"), edges)).drop("_edges")
+        rows = digitize(rows, column, label_edges(rows, column, edges, by), edges, by=by, into=name)
     return rows.groupBy(*by, "bin_1", "bin_2").agg(F.count(F.lit(1)).alias("n"))

@@ -21,7 +21,7 @@ from strandwork.operators import (
     target,
 )
 from strandwork.plans import jobs
-from strandwork.sources.tables import source_rows
+from strandwork.sources.tables import source_rows, spread
 
 SEED = 7
 LOW, HIGH = 20.0, 100.0
@@ -195,9 +195,14 @@ def null_baseline(spark, sf):
 # -- sequences and near-duplicates
 
 
+def _texts(spark, sf) -> DataFrame:
+    return spread(table(spark, sf, "documents").select("doc_id", "source", "text"))
+
+
 def _documents(spark, sf) -> DataFrame:
     """Sequences may not contain spaces."""
-    return table(spark, sf, "documents").select("doc_id", "source", F.replace("text", F.lit(" "), F.lit("")).alias("seq"))
+    texts = _texts(spark, sf)
+    return texts.select("doc_id", "source", F.replace("text", F.lit(" "), F.lit("")).alias("seq"))
 
 
 def kgrams(spark, sf):
@@ -243,12 +248,12 @@ def dedup_summary(spark, sf):
 
 
 def normalized_sequence(spark, sf):
-    rows = table(spark, sf, "documents")
+    rows = _texts(spark, sf)
     return rows.select("doc_id", F.md5(sequences.normalized(F.col("text"))).alias("digest"))
 
 
 def encoded_tokens(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", "text")
+    rows = _texts(spark, sf).select("doc_id", "text")
     words = F.split("text", "")
     coded = scoring.encode(rows, words, scoring.fit_vocabulary(rows, words), length=512)
     text = F.array_join(F.transform("input_ids", lambda x: x.cast("string")), ",")

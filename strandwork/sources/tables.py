@@ -34,6 +34,17 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return reader.parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a plain file scan at least one partition per core.
+
+    For columns that take long to process (texts) in a file of a single row
+    group. A scan that already has enough splits, as any large table has, is
+    returned unchanged, so no data is shuffled for it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(4 * cores)
+
+
 def source_rows(
     records: DataFrame,
     groups: DataFrame,
