@@ -14,10 +14,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def same(left: DataFrame, right: DataFrame, by: Sequence[str], prefix: str) -> Column:
-    """Null-safe equality of ``by`` against the prefixed copies in ``right``."""
+    """Equality of ``by`` with the prefixed copies in ``right``, in which NULLs meet.
+
+    Where one side has no NULLs plain equality says the same and keeps the
+    partitioning of the column usable for what follows the join.
+    """
     condition = F.lit(True)
     for name in by:
-        condition = condition & left[name].eqNullSafe(right[prefix + name])
+        mine, other = left[name], right[prefix + name]
+        nulls = left.schema[name].nullable and right.schema[prefix + name].nullable
+        condition = condition & (mine.eqNullSafe(other) if nulls else mine == other)
     return condition
 
 

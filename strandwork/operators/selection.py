@@ -129,11 +129,13 @@ def shuffled_position(
     Ranks are taken inside hash buckets, which are even by construction, so no
     stratum is ever sorted in one task.
     """
-    keyed, counts = _histogram(df, key, seed, by, digits)
-    groups = [*by, "_bucket"]
+    # One non-NULL stratum key lets the join and the ranking share a single shuffle.
+    stratum = F.coalesce(F.to_json(F.struct(*by)), F.lit("")) if by else F.lit("")
+    groups = ["_stratum", "_bucket"]
+    keyed, counts = _histogram(df.withColumn("_stratum", stratum), key, seed, ["_stratum"], digits)
     joined = join_by(keyed, counts.select(*groups, "_before"), groups)
     rank = F.row_number().over(Window.partitionBy(*groups).orderBy("_hash"))
-    return joined.withColumn(into, F.col("_before") + rank - 1).drop("_hash", "_bucket", "_before")
+    return joined.withColumn(into, F.col("_before") + rank - 1).drop("_hash", "_before", *groups)
 
 
 def running_total(

@@ -27,7 +27,7 @@ SEED = 7
 LOW, HIGH = 20.0, 100.0
 TYPES = ["click", "error", "purchase", "signup", "view"]
 LSH = neardup.Similarity(threshold=0.6)
-EXACT = neardup.Similarity(threshold=0.6, candidates="prefix", verify="exact", pivots=4096)
+EXACT = neardup.Similarity(threshold=0.6, candidates="prefix", verify="exact", pivots=neardup.MAX_WIDTH)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
