@@ -35,14 +35,14 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return session
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` with a reliable checkpoint.
+def shared_folder(session: SparkSession) -> str:
+    """The folder for intermediate tables that every executor reaches.
 
-    The shared folder comes from ``spark.checkpoint.dir``. Only a local master
-    without that setting gets a temporary folder; on a cluster its absence is an
-    error, because a machine-local folder would be lost with its executor.
+    It is the session's checkpoint folder, from ``spark.checkpoint.dir``. Only a
+    local master without that setting gets a temporary folder; on a cluster its
+    absence is an error, because a machine-local folder would be lost with its
+    executor.
     """
-    session = df.sparkSession
     context = session.sparkContext
     if context.getCheckpointDir() is None:
         folder = session.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
@@ -51,6 +51,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
             folder = tempfile.mkdtemp(prefix="strandwork-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
