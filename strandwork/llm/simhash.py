@@ -100,7 +100,7 @@ def _midpoints(members: DataFrame, max_bits: int) -> DataFrame:
     return spread.join(heads, "mid").filter("bits <> a").select("a", F.col("bits").alias("b")).distinct()
 
 
-def links(prints: DataFrame, max_bits: int = 4, crowd: int = 64) -> DataFrame:
+def links(prints: DataFrame, max_bits: int = 4, crowd: int = 16) -> DataFrame:
     """``(a, b)`` over distinct ``prints(bits)``: links within ``max_bits`` that connect all such pairs.
 
     Pairs of a variant with at most ``crowd`` members are all there; the members of larger ones are
@@ -130,7 +130,7 @@ def near_duplicates(
     text: str = "text",
     shingle: int = 4,
     max_bits: int = 4,
-    crowd: int = 64,
+    crowd: int = 16,
 ) -> DataFrame:
     """``(id, fingerprint, component_id)`` for every row of ``docs``.
 
