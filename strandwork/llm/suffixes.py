@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +39,11 @@ from strandwork.llm.chunks import (
     total,
 )
 from strandwork.llm.store import written
-from strandwork.llm.words import Texts
 
 #: Bytes of the prefix that is ranked at sampled positions, and leading bits that are enough to discard by it.
 SAMPLED = 20
 _SAMPLE_BITS = 44
 _RUN_BYTES = 1 << 20
-_LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 TEXT, SAMPLE, STRING = 0, 1, 2
 
 
@@ -82,43 +81,15 @@ def sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return pick(values[: len(values) - (width - have)], values[width - have :]) if have < width else values
 
 
-class Strings:
-    """The ``length``-byte strings of a run of texts and their sampled positions."""
-
-    def __init__(self, run: Texts, length: int):
-        self.length = length
-        ranks = doubled(eights(run.data), 8)
-        self.sixteens = ranks
-        n = len(run.data) - length + 1
-        self.valid = np.zeros(max(0, n), bool)
-        for a, b in zip(run.starts[:-1].tolist(), run.starts[1:].tolist(), strict=True):
-            if b - a >= length:
-                self.valid[a : b - length + 1] = True
-        self.any = bool(self.valid.any())
-        if not self.any:
-            return
-        width = length - SAMPLED + 1
-        self.ranks = paired(ranks[: len(ranks) - (SAMPLED - 16)], ranks[SAMPLED - 16 :])
-        self.least = sliding(self.ranks, width, np.minimum)
-        # A position is sampled if it has the smallest rank of a string that holds it.
-        edge = np.zeros(width - 1, np.uint64)
-        holding = np.concatenate([edge, np.where(self.valid, self.least, np.uint64(0)), edge])
-        self.sampled = np.flatnonzero(sliding(holding, width, np.maximum) == self.ranks)
-        self.width = width
-
-    def left(self, repeated: np.ndarray) -> np.ndarray:
-        """Strings whose sampled rank is at one of the ``repeated`` sampled positions (a mask over them)."""
-        marked = np.full(len(self.ranks), _LAST)
-        at = self.sampled[repeated]
-        marked[at] = self.ranks[at]
-        return np.flatnonzero(self.valid & (sliding(marked, self.width, np.minimum) == self.least))
-
-    def keys(self, at: np.ndarray) -> np.ndarray:
-        """Ranks of whole strings."""
-        first, second = self.sixteens[at], self.sixteens[at + 16]
-        half = paired(first, second)
-        shift = self.length - 32
-        return paired(half, paired(self.sixteens[at + shift], self.sixteens[at + shift + 16]))
+def string_keys(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Ranks of the ``length``-byte strings at some positions: 16 and 32 bytes, then the last 32 as well."""
+    whole = eights(data)
+
+    def sixteen(shift: int) -> np.ndarray:
+        return paired(whole[at + shift], whole[at + shift + 8])
+
+    last = length - 32
+    return paired(paired(sixteen(0), sixteen(16)), paired(sixteen(last), sixteen(last + 16)))
 
 
 def _coarse(ranks: np.ndarray) -> np.ndarray:
@@ -144,47 +115,104 @@ def _first_of(chunk: Chunk, length: int) -> np.ndarray:
     return first
 
 
-def _strings(chunk: Chunk, length: int) -> Iterator[tuple[Texts, Strings, np.ndarray]]:
-    """Runs of the texts that are first of their kind, their strings, and the row of each text of the run.
+@dataclass
+class Stretches:
+    """The strings of a run of texts, as stretches that share their sampled position.
 
-    The other texts of a run are emptied, so their strings are none.
+    ``rank`` is that of the sampled prefix: the smallest one in every string of the stretch. It is the
+    same wherever the string is found, so strings with different ranks are different.
     """
+
+    data: np.ndarray
+    starts: np.ndarray  # of the texts in ``data``, one more at the end
+    rows: np.ndarray  # of the texts in the chunk
+    begin: np.ndarray
+    size: np.ndarray
+    rank: np.ndarray
+
+    def text_of(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, places, "right") - 1
+
+    def places(self, wanted: np.ndarray) -> np.ndarray:
+        """Positions of the strings in the wanted stretches."""
+        begin, size = self.begin[wanted], self.size[wanted]
+        stops = np.cumsum(size)
+        return np.repeat(begin - (stops - size), size) + np.arange(int(stops[-1]) if len(stops) else 0)
+
+
+def _stretches(chunk: Chunk, length: int) -> Iterator[Stretches]:
+    """Of the texts that are first of their kind and long enough, in runs."""
     first = _first_of(chunk, length)
     for run in chunk.runs(_RUN_BYTES):
-        rows = np.arange(run.first, run.first + len(run))
-        mine = first[rows] & (np.diff(run.starts) >= length)
-        if mine.any():
-            sizes = np.diff(run.starts)[mine]
-            begins = run.starts[:-1][mine]
-            data = np.concatenate([run.data[a : a + n] for a, n in zip(begins.tolist(), sizes.tolist(), strict=True)])
-            kept = Texts(run.first, data, np.concatenate([[0], np.cumsum(sizes)]))
-            yield kept, Strings(kept, length), rows[mine]
-
-
-def _sample_keys(chunk: Chunk, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct coarse ranks of the sampled positions of a chunk, and 2 where two texts have it, else 1."""
-    keys, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    for run, strings, rows in _strings(chunk, length):
-        keys.append(_coarse(strings.ranks[strings.sampled]))
-        owners.append(rows[np.searchsorted(run.starts, strings.sampled, "right") - 1])
-    keys, owners = np.concatenate(keys), np.concatenate(owners)
+        sizes = np.diff(run.starts)
+        mine = np.flatnonzero(first[run.first : run.first + len(run)] & (sizes >= length))
+        if len(mine) == 0:
+            continue
+        spans = zip(run.starts[mine].tolist(), run.starts[mine + 1].tolist(), strict=True)
+        data = np.concatenate([run.data[a:b] for a, b in spans])
+        starts = np.concatenate([[0], np.cumsum(sizes[mine])])
+        sixteen = doubled(eights(data), 8)
+        more = SAMPLED - 16
+        ranks = _coarse(paired(sixteen[: len(sixteen) - more], sixteen[more:]))
+        least = sliding(ranks, length - SAMPLED + 1, np.minimum)
+        changes = np.ones(len(least), bool)
+        changes[1:] = least[1:] != least[:-1]
+        # Strings must not cross into the next text.
+        over = starts[1:-1] - length + 1
+        changes[over] = True
+        changes[starts[1:-1]] = True
+        begin = np.flatnonzero(changes)
+        size = np.diff(begin, append=len(least))
+        text = np.searchsorted(starts, begin, "right") - 1
+        inside = begin <= starts[text + 1] - length
+        begin, size = begin[inside], size[inside]
+        yield Stretches(data, starts, run.first + mine, begin, size, least[begin])
+
+
+def _sample_keys(found: list[Stretches]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sampled ranks of a chunk, and 2 where two of its texts have it, else 1."""
+    keys = np.concatenate([np.empty(0, np.uint64), *[f.rank for f in found]])
+    rows = np.concatenate([np.empty(0, np.int64), *[f.rows[f.text_of(f.begin)] for f in found]])
     order = np.argsort(keys, kind="stable")  # rows ascend within a key
-    keys, owners = keys[order], owners[order]
-    opens = np.flatnonzero(np.diff(keys, prepend=~keys[:1]) != 0)
+    keys, rows = keys[order], rows[order]
+    opens = np.ones(len(keys), bool)
+    opens[1:] = keys[1:] != keys[:-1]
+    opens = np.flatnonzero(opens)
     closes = np.append(opens[1:], len(keys)) - 1
-    return keys[opens], 1 + (owners[opens] != owners[closes])
-
-
-def _left(chunk: Chunk, length: int) -> Iterator[tuple[Texts, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each run the strings that are left after the sampled round: positions, keys and rows."""
-    repeated = answer_values(chunk.answers, SAMPLE) >= 2
-    known = _sample_keys(chunk, length)[0][repeated]
-    for run, strings, rows in _strings(chunk, length):
-        coarse = _coarse(strings.ranks[strings.sampled])
-        at = np.minimum(np.searchsorted(known, coarse), max(0, len(known) - 1))
-        again = known[at] == coarse if len(known) else np.zeros(len(coarse), bool)
-        places = strings.left(again)
-        yield run, places, strings.keys(places), rows[np.searchsorted(run.starts, places, "right") - 1]
+    return keys[opens], 1 + (rows[opens] != rows[closes])[: len(opens)]
+
+
+@dataclass
+class Left:
+    """The strings of a chunk that are left after the sampled round, in ascending order of keys."""
+
+    order: np.ndarray  # into the strings in order of position
+    opens: np.ndarray  # where each distinct key begins
+    keys: np.ndarray
+    rows: np.ndarray  # by position
+    places: np.ndarray  # in the text, by position
+
+
+def _left(chunk: Chunk, length: int) -> Left:
+    found = list(_stretches(chunk, length))
+    samples = _sample_keys(found)[0]
+    known = samples[answer_values(chunk.answers, SAMPLE) >= 2]
+    keys, rows, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for f in found:
+        if len(known) == 0:
+            break
+        again = known[np.minimum(np.searchsorted(known, f.rank), len(known) - 1)] == f.rank
+        at = f.places(again)
+        text = f.text_of(at)
+        keys.append(string_keys(f.data, at, length))
+        rows.append(f.rows[text])
+        places.append(at - f.starts[text])
+    keys = np.concatenate(keys)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    opens = np.ones(len(keys), bool)
+    opens[1:] = keys[1:] != keys[:-1]
+    return Left(order, opens, keys, np.concatenate(rows), np.concatenate(places))
 
 
 def deduplicated(
@@ -213,31 +241,26 @@ def deduplicated(
         yield questions(chunk.number, TEXT, unique, ids, bucket_bits(0, least))
 
     def ask_samples(chunk: Chunk) -> Iterator[pa.RecordBatch]:
-        yield questions(chunk.number, SAMPLE, *_sample_keys(chunk, length), sample_bits)
+        yield questions(chunk.number, SAMPLE, *_sample_keys(list(_stretches(chunk, length))), sample_bits)
 
     def ask_strings(chunk: Chunk) -> Iterator[pa.RecordBatch]:
-        found = list(_left(chunk, length))
-        keys = np.concatenate([np.empty(0, np.uint64), *[f[2] for f in found]])
-        ids = np.concatenate([np.empty(0, np.int64), *[chunk.ids[f[3]] for f in found]])
-        order = np.lexsort((ids, keys))
-        keys, ids = keys[order], ids[order]
-        opens = np.ones(len(keys), bool)
-        opens[1:] = keys[1:] != keys[:-1]
-        yield questions(chunk.number, STRING, keys[opens], ids[opens], string_bits)
+        left = _left(chunk, length)
+        opens = np.flatnonzero(left.opens)
+        ids = chunk.ids[left.rows[left.order]]
+        least = np.minimum.reduceat(ids, opens) if len(opens) else ids
+        yield questions(chunk.number, STRING, left.keys[opens], least, string_bits)
 
     def cut(chunk: Chunk) -> Iterator[pa.RecordBatch]:
-        found = list(_left(chunk, length))
-        known = np.unique(np.concatenate([np.empty(0, np.uint64), *[f[2] for f in found]]))
-        least_ids = answer_values(chunk.answers, STRING)
-        edges: dict[int, np.ndarray] = {}
-        for run, places, keys, rows in found:
-            gone = least_ids[np.searchsorted(known, keys)] < chunk.ids[rows]
-            places, rows = places[gone], rows[gone]
-            opens = np.flatnonzero(np.diff(rows, prepend=-1))
-            for a, b in zip(opens.tolist(), [*opens[1:].tolist(), len(rows)], strict=True):
-                edges[int(rows[a])] = places[a:b] - run.starts[np.searchsorted(run.starts, places[a], "right") - 1]
-        first = _first_of(chunk, length)
-        yield _results(chunk, first, edges, length, id, keep_text)
+        left = _left(chunk, length)
+        least = answer_values(chunk.answers, STRING)
+        gone = np.zeros(len(left.keys), bool)
+        if len(gone):
+            gone[left.order] = least[np.cumsum(left.opens) - 1] < chunk.ids[left.rows[left.order]]
+        places, rows = left.places[gone], left.rows[gone]
+        opens = np.flatnonzero(np.diff(rows, prepend=-1))
+        ends = [*opens[1:].tolist(), len(rows)]
+        edges = {int(rows[a]): places[a:b] for a, b in zip(opens.tolist(), ends, strict=False)}
+        yield _results(chunk, _first_of(chunk, length), edges, length, id, keep_text)
 
     texts_seen = written(answered(chunks.map(ask_texts, QUESTION), smallest), "suffixes-texts")
     samples = written(answered(chunks.map(ask_samples, QUESTION, texts_seen), total), "suffixes-samples")
