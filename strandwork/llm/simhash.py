@@ -97,7 +97,7 @@ def _midpoints(members: DataFrame, max_bits: int) -> DataFrame:
     spread = members.select("bits", F.explode(F.array(*[F.lit(f) for f in flips])).alias("flip"))
     spread = spread.select("bits", F.col("bits").bitwiseXOR(F.col("flip")).alias("mid"))
     heads = spread.groupBy("mid").agg(F.min("bits").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return spread.join(heads, "mid").filter("bits <> a").select("a", F.col("bits").alias("b")).distinct()
+    return spread.join(heads.hint("merge"), "mid").filter("bits <> a").select("a", F.col("bits").alias("b")).distinct()
 
 
 def links(prints: DataFrame, max_bits: int = 4, crowd: int = 16) -> DataFrame:
@@ -115,11 +115,14 @@ def links(prints: DataFrame, max_bits: int = 4, crowd: int = 16) -> DataFrame:
     )
     sizes = written(sizes.filter("n > 1"), "simhash-variants")
     twos = sizes.filter((F.col("n") == 2) & near).select("a", "b")
-    few = spread.join(sizes.filter((F.col("n") > 2) & (F.col("n") <= crowd)).select("slot", "value"), ["slot", "value"])
+    # All of these grow with the documents, so none is to be broadcast, whatever its estimated size.
+    some = sizes.filter((F.col("n") > 2) & (F.col("n") <= crowd)).select("slot", "value")
+    few = spread.join(some.hint("merge"), ["slot", "value"])
     left = few.withColumnRenamed("bits", "a")
     right = few.withColumnRenamed("bits", "b")
-    pairs = left.join(right, ["slot", "value"]).filter((F.col("a") < F.col("b")) & near).select("a", "b")
-    crowded = spread.join(sizes.filter(F.col("n") > crowd).select("slot", "value"), ["slot", "value"], "left_semi")
+    pairs = left.join(right.hint("merge"), ["slot", "value"]).filter((F.col("a") < F.col("b")) & near).select("a", "b")
+    large = sizes.filter(F.col("n") > crowd).select("slot", "value")
+    crowded = spread.join(large.hint("merge"), ["slot", "value"], "left_semi")
     stars = _midpoints(crowded.select("bits").distinct(), max_bits)
     return twos.unionByName(pairs).unionByName(stars).distinct()
 
@@ -143,11 +146,12 @@ def near_duplicates(
     prints = written(fingerprints(docs, id, text, shingle).withColumnRenamed(id, "id"), "simhash-prints")
     heads = written(prints.groupBy("bits").agg(F.min("id").alias("head")), "simhash-heads")
     groups = connected_components(links(heads.select("bits"), max_bits, crowd))
-    tied = heads.join(groups.withColumnsRenamed({"id": "bits", "component": "group"}), "bits")
+    groups = groups.withColumnsRenamed({"id": "bits", "component": "group"})
+    tied = heads.join(groups.hint("merge"), "bits")
     ids = tied.groupBy("group").agg(F.min("head").alias("smallest"))
-    smallest = tied.join(ids, "group").select("bits", "smallest")
-    every = heads.join(smallest, "bits", "left").select("bits", F.coalesce("smallest", "head").alias("component_id"))
-    return prints.join(every, "bits").select(
+    smallest = tied.join(ids.hint("merge"), "group").select("bits", "smallest")
+    every = heads.join(smallest.hint("merge"), "bits", "left").select("bits", F.coalesce("smallest", "head").alias("component_id"))
+    return prints.join(every.hint("merge"), "bits").select(
         F.col("id").alias(id), F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id"
     )
 
@@ -163,5 +167,5 @@ def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", **how)
     found = near_duplicates(keyed, "_simhash_key", text, **how)
     heads = found.filter(F.col("_simhash_key") == F.col("component_id")).select("_simhash_key").distinct()
     first = F.row_number().over(W.partitionBy("_simhash_key").orderBy(F.lit(1)))
-    kept = keyed.join(heads, "_simhash_key", "left_semi").withColumn("_simhash_turn", first)
+    kept = keyed.join(heads.hint("merge"), "_simhash_key", "left_semi").withColumn("_simhash_turn", first)
     return kept.filter("_simhash_turn = 1").select(*docs.columns)
