@@ -4,10 +4,12 @@ A fingerprint of 64 bits is cut into ``max_bits // 2 + 1`` segments. If two fing
 most ``max_bits`` bits, one of those segments differs in at most one bit, so both own the same variant
 of it with one bit masked. The variants are joined by equality and the pairs verified.
 
-Near copies crowd into few variants. A variant with more than ``crowd`` fingerprints is not joined with
-itself: its members meet at midpoints instead. Two fingerprints differ in at most 2r bits if and only if
-some value lies within r bits of both, and all members around one midpoint are linked to the smallest of
-them with a ``min``. No group is listed as pairs and nothing is left out.
+A variant with more than ``crowd`` fingerprints is cut finer, not joined with itself: its members that
+belong together differ in at most ``max_bits`` of the other bits, so of ``max_bits + 1`` pieces of those
+one is equal. Chance meetings end there. What stays crowded are near copies, and they meet at midpoints:
+two fingerprints differ in at most 2r bits if and only if some value lies within r bits of both, and all
+members around one midpoint are linked to the smallest of them with a ``min``. No group is listed as
+pairs and nothing is left out.
 """
 
 from __future__ import annotations
@@ -100,31 +102,51 @@ def _midpoints(members: DataFrame, max_bits: int) -> DataFrame:
     return spread.join(heads.hint("merge"), "mid").filter("bits <> a").select("a", F.col("bits").alias("b")).distinct()
 
 
+def pieces(bits: Column, slot: Column, max_bits: int) -> Column:
+    """Array of the bits outside the slot's segment, cut into ``max_bits + 1`` pieces that stay in place."""
+    cut = None
+    for low, width in segments(max_bits):
+        rest = [b for b in range(64) if not low <= b < low + width]
+        edges = [len(rest) * i // (max_bits + 1) for i in range(max_bits + 2)]
+        masks = [_signed(sum(1 << b for b in rest[x:y])) for x, y in pairwise(edges)]
+        out = F.array(*[bits.bitwiseAND(F.lit(mask).cast("bigint")) for mask in masks])
+        here = (slot >= low) & (slot < low + width)
+        cut = F.when(here, out) if cut is None else cut.when(here, out)
+    return cut
+
+
+def _met(spread: DataFrame, keys: list[str], max_bits: int, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs ``(a, b)`` within groups of at most ``crowd`` members, and the rows of the larger groups.
+
+    All of these grow with the documents, so none is to be broadcast, whatever its estimated size.
+    """
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
+    sizes = spread.groupBy(*keys).agg(F.count("*").alias("n"), F.min("bits").alias("a"), F.max("bits").alias("b"))
+    sizes = written(sizes.filter("n > 1"), "simhash-groups")
+    twos = sizes.filter((F.col("n") == 2) & near).select("a", "b")
+    some = sizes.filter((F.col("n") > 2) & (F.col("n") <= crowd)).select(*keys)
+    few = spread.join(some.hint("merge"), keys)
+    left, right = few.withColumnRenamed("bits", "a"), few.withColumnRenamed("bits", "b")
+    pairs = left.join(right.hint("merge"), keys).filter((F.col("a") < F.col("b")) & near).select("a", "b")
+    large = sizes.filter(F.col("n") > crowd).select(*keys)
+    return twos.unionByName(pairs), spread.join(large.hint("merge"), keys, "left_semi")
+
+
 def links(prints: DataFrame, max_bits: int = 4, crowd: int = 16) -> DataFrame:
     """``(a, b)`` over distinct ``prints(bits)``: links within ``max_bits`` that connect all such pairs.
 
-    Pairs of a variant with at most ``crowd`` members are all there; the members of larger ones are
-    connected through midpoints (even ``max_bits``). ``crowd`` decides the way, never the components.
+    Pairs of a variant or piece with at most ``crowd`` members are all there; the members of larger pieces
+    are connected through midpoints (even ``max_bits``). ``crowd`` decides the way, never the components.
     """
     if max_bits % 2:
         raise ValueError("max_bits must be even: midpoints cover even distances")
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
     spread = prints.select("bits", F.inline(variants(F.col("bits"), max_bits)))
-    sizes = spread.groupBy("slot", "value").agg(
-        F.count("*").alias("n"), F.min("bits").alias("a"), F.max("bits").alias("b")
-    )
-    sizes = written(sizes.filter("n > 1"), "simhash-variants")
-    twos = sizes.filter((F.col("n") == 2) & near).select("a", "b")
-    # All of these grow with the documents, so none is to be broadcast, whatever its estimated size.
-    some = sizes.filter((F.col("n") > 2) & (F.col("n") <= crowd)).select("slot", "value")
-    few = spread.join(some.hint("merge"), ["slot", "value"])
-    left = few.withColumnRenamed("bits", "a")
-    right = few.withColumnRenamed("bits", "b")
-    pairs = left.join(right.hint("merge"), ["slot", "value"]).filter((F.col("a") < F.col("b")) & near).select("a", "b")
-    large = sizes.filter(F.col("n") > crowd).select("slot", "value")
-    crowded = spread.join(large.hint("merge"), ["slot", "value"], "left_semi")
-    stars = _midpoints(crowded.select("bits").distinct(), max_bits)
-    return twos.unionByName(pairs).unionByName(stars).distinct()
+    pairs, crowded = _met(spread, ["slot", "value"], max_bits, crowd)
+    crowded = written(crowded.select("bits", "slot", "value"), "simhash-crowded")
+    cut = F.posexplode(pieces(F.col("bits"), F.col("slot"), max_bits)).alias("part", "piece")
+    finer, copies = _met(crowded.select("*", cut), ["slot", "value", "part", "piece"], max_bits, crowd)
+    stars = _midpoints(copies.select("bits").distinct(), max_bits)
+    return pairs.unionByName(finer).unionByName(stars).distinct()
 
 
 def near_duplicates(
