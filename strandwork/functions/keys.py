@@ -13,8 +13,14 @@ from pyspark.sql import functions as F
 
 
 def order_hash(key: Sequence[str], seed: int) -> Column:
-    """Hexadecimal order key of a row; ascending order is a random permutation."""
-    return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key], F.lit(str(seed))))
+    """Hexadecimal order key of a row; ascending order is a random permutation.
+
+    The parts of the key carry their length, and NULL is a mark of its own, so different keys never
+    meet in one string.
+    """
+    parts = [F.col(c).cast("string") for c in key]
+    marked = [F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit("-")) for p in parts]
+    return F.md5(F.concat_ws("|", *marked, F.lit(str(seed))))
 
 
 def draw(position: Column, size: Column, seed: int) -> Column:

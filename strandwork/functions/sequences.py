@@ -92,7 +92,12 @@ def encoded(
     """
     room = length - (start is not None) - (end is not None)
     ids = F.transform(F.slice(words, 1, room), lambda w: F.coalesce(F.try_element_at(vocabulary, w), F.lit(unknown)))
-    framed = F.concat(
+    return framed(ids, length=length, pad=pad, start=start, end=end)
+
+
+def framed(ids: Column, *, length: int, pad: int = 0, start: int | None = None, end: int | None = None) -> Column:
+    """``struct(input_ids, attention_mask)``: ``ids`` between the framing ids, padded to ``length``."""
+    whole = F.concat(
         F.array(*[F.lit(v) for v in [start] if v is not None]).cast("array<int>"),
         ids,
         F.array(*[F.lit(v) for v in [end] if v is not None]).cast("array<int>"),
@@ -105,4 +110,4 @@ def encoded(
             F.concat(F.array_repeat(F.lit(1), F.size(row)), F.array_repeat(F.lit(0), missing)).alias("attention_mask"),
         )
 
-    return let(framed, padded)
+    return let(whole, padded)

@@ -15,8 +15,12 @@ def clean_name(name: Column) -> Column:
 
 
 def once_per_step(history: DataFrame) -> DataFrame:
-    """Drop the repeats that come from logging one evaluation twice."""
-    return history.groupBy("run", "metric", "step").agg(F.max("value").alias("value"))
+    """Drop the repeats that come from logging one evaluation twice.
+
+    Of differing repeats the largest number stays; NaN and NULL only where there is no number.
+    """
+    number = F.when(~F.isnan("value"), F.col("value"))
+    return history.groupBy("run", "metric", "step").agg(F.coalesce(F.max(number), F.max("value")).alias("value"))
 
 
 def pivot_metrics(history: DataFrame, metrics: Sequence[str]) -> DataFrame:

@@ -13,9 +13,11 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.functions.sequences import encoded, kgrams
+from strandwork.functions.sequences import framed, kgrams
 from strandwork.operators.selection import key_position
-from strandwork.sources.session import SMALL_ROWS
+
+#: Parts into which the occurrences of one word are spread for the vocabulary join.
+WORD_SALTS = 16
 
 Scorer = Callable[[list], np.ndarray]
 
@@ -32,23 +34,32 @@ def encode(
     words: Column,
     vocabulary: DataFrame,
     *,
+    id: str,
     length: int = 512,
     unknown: int = 1,
     pad: int = 0,
     start: int | None = 2,
     end: int | None = 3,
 ) -> DataFrame:
-    """Add ``input_ids`` and ``attention_mask`` of fixed ``length``.
+    """Add ``input_ids`` and ``attention_mask`` of fixed ``length``; ``id`` must be unique.
 
-    The vocabulary becomes one constant map. It is checked against a bound first:
-    a vocabulary is an alphabet, not a table that grows with the data.
+    The words that fit into a row are joined with the vocabulary ``(word, id)``, of any size, and put
+    back by position. Equal words are salted, so that a frequent one is no hot key.
     """
-    head = vocabulary.select("word", "id").limit(SMALL_ROWS + 1).collect()
-    if len(head) > SMALL_ROWS:
-        raise ValueError(f"vocabulary has more than {SMALL_ROWS} words")
-    mapping = F.create_map(*[F.lit(v) for row in head for v in (row["word"], row["id"])])
-    pair = encoded(words, mapping, length=length, unknown=unknown, pad=pad, start=start, end=end)
-    return df.withColumn("_pair", pair).select(*df.columns, "_pair.input_ids", "_pair.attention_mask")
+    room = length - (start is not None) - (end is not None)
+    rows = df.withColumn("_words", F.slice(words, 1, room))
+    found = rows.select(F.col(id).alias("_id"), F.posexplode("_words").alias("_at", "_word"))
+    found = found.withColumn("_salt", F.pmod(F.xxhash64("_id", "_at"), F.lit(WORD_SALTS)))
+    book = vocabulary.select(
+        F.col("word").alias("_word"), F.col("id").alias("_token"), F.explode(F.sequence(F.lit(0), F.lit(WORD_SALTS - 1))).alias("_salt")
+    )
+    token = F.struct("_at", F.coalesce("_token", F.lit(unknown)).cast("int").alias("_token"))
+    tokens = found.join(book, ["_word", "_salt"], "left").groupBy("_id").agg(F.array_sort(F.collect_list(token)).alias("_tokens"))
+    joined = rows.join(tokens, rows[id].eqNullSafe(tokens["_id"]), "left")
+    none = F.when(F.col("_words").isNotNull(), F.array().cast("array<int>"))
+    ids = F.coalesce(F.transform("_tokens", lambda t: t["_token"]), none)
+    pair = framed(ids, length=length, pad=pad, start=start, end=end)
+    return joined.withColumn("_pair", pair).select(*df.columns, "_pair.input_ids", "_pair.attention_mask")
 
 
 def batch_score(

@@ -7,7 +7,7 @@ from strandwork.plans.queries import HIGH, LOW, SEED, TYPES, WEIGHTS
 
 
 def _hash(*columns: str, seed: int = SEED) -> str:
-    return "md5(" + " || '|' || ".join(f"{c}::VARCHAR" for c in columns) + f" || '|{seed}')"
+    return "md5(" + " || '|' || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in columns) + f" || '|{seed}')"
 
 
 JOINED = "SELECT d.doc_id, d.source, l.quality, length(d.text) AS length FROM documents d JOIN labels l USING (doc_id)"
@@ -250,7 +250,7 @@ ORACLES = {
     "balanced_up": f"""WITH {LABELLED}, {_targets(0.5, 1.0, '')},
   ranked AS (SELECT event_id, labels, row_number() OVER (PARTITION BY labels ORDER BY {_hash('event_id')}) AS rn FROM labelled),
   draws AS (SELECT label, n_before, unnest(range(n_after)) AS i FROM targets WHERE n_after > n_before),
-  hits AS (SELECT label, ('0x' || substr({_hash('i')}, 1, 15))::BIGINT % n_before AS pos, count(*) AS copies FROM draws GROUP BY ALL)
+  hits AS (SELECT label, ('0x' || substr(md5(i::VARCHAR || '|{SEED}'), 1, 15))::BIGINT % n_before AS pos, count(*) AS copies FROM draws GROUP BY ALL)
   SELECT event_id, labels, 1::BIGINT AS copies FROM ranked JOIN targets ON label = labels WHERE n_after <= n_before AND rn <= n_after
   UNION ALL SELECT event_id, labels, copies FROM ranked JOIN hits ON label = labels AND pos = rn - 1""",
     "bin_histogram": f"WITH {_histogram()} SELECT bin, round(lo, 4) AS lo, round(hi, 4) AS hi, n_before FROM histogram",

@@ -255,7 +255,7 @@ def normalized_sequence(spark, sf):
 def encoded_tokens(spark, sf):
     rows = _texts(spark, sf).select("doc_id", "text")
     words = F.split("text", "")
-    coded = scoring.encode(rows, words, scoring.fit_vocabulary(rows, words), length=512)
+    coded = scoring.encode(rows, words, scoring.fit_vocabulary(rows, words), id="doc_id", length=512)
     text = F.array_join(F.transform("input_ids", lambda x: x.cast("string")), ",")
     filled = F.aggregate("attention_mask", F.lit(0), lambda acc, x: acc + x)
     return coded.select("doc_id", F.md5(text).alias("digest"), filled.alias("n_tokens"))

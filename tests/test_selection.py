@@ -136,3 +136,10 @@ def test_row_operators_accept_a_stream(spark, tmp_path):
         "checkpointLocation", f"{tmp_path}/c").start()
     query.awaitTermination(60)
     assert spark.table("labelled").count() == 5
+
+
+def test_first_n_is_exact_for_keys_with_separators_and_nulls(spark):
+    keys = [("a|b", "c"), ("a", "b|c"), (None, "x"), ("x", None)]
+    df = spark.createDataFrame(keys, "k string, l string")
+    for n in range(5):
+        assert selection.first_n(df, ["k", "l"], n, seed=3).count() == n
