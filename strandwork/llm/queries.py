@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandwork.llm import decontam, dialogs, lm, mixing, pages, rules, shards, simhash, suffixes, tokens, toxicity
+from strandwork.llm import decontam, dialogs, lm, mixing, pages, periods, rules, shards, simhash, suffixes, tokens, toxicity
 from strandwork.sources.tables import read_table
 
 
@@ -57,6 +57,10 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extracted(table(spark, sf_dir, "pages"))
 
 
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.periodic_runs(table(spark, sf_dir, "documents"), rewrite=periods.planted)
+
+
 def op13_dialogs(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     return dialogs.audited(dialogs.damaged(conversations), conversations)
@@ -73,5 +77,6 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_toxicity": op9_toxicity,
     "op10_html": op10_html,
+    "op12_runs": op12_runs,
     "op13_dialogs": op13_dialogs,
 }
