@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandwork.llm import decontam, dialogs, lm, mixing, pages, periods, rules, shards, simhash, suffixes, tokens, toxicity
+from strandwork.llm import decontam, dialogs, lm, mixing, pages, periods, rules, shards, simhash, suffixes, tokens, toxicity, vectors
 from strandwork.sources.tables import read_table
 
 
@@ -57,6 +57,10 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extracted(table(spark, sf_dir, "pages"))
 
 
+def op11_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.periodic_runs(table(spark, sf_dir, "documents"), rewrite=periods.planted)
 
@@ -77,6 +81,7 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_toxicity": op9_toxicity,
     "op10_html": op10_html,
+    "op11_vectors": op11_vectors,
     "op12_runs": op12_runs,
     "op13_dialogs": op13_dialogs,
 }
