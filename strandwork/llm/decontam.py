@@ -143,7 +143,7 @@ class Automaton:
 def _blocks(items: DataFrame, id: str, text: str, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
     """The items in runs of at most ``block_words`` words (or one item), read one partition at a time."""
     block, size = [], 0
-    for row in items.select(F.col(id).cast("string"), F.col(text).cast("binary")).toLocalIterator():
+    for row in items.select(F.coalesce(F.col(id).cast("string"), F.lit("")), F.col(text).cast("binary")).toLocalIterator():
         tokens = normalised(bytes(row[1] or b""))
         if block and size + len(tokens) > block_words:
             yield block
@@ -248,7 +248,8 @@ def contamination(
     words inside an occurrence are hit, overlaps once. ``cleaned`` adds ``clean``: the text without its
     hit spans (each with the bytes between its words), or NULL where more than ``max_coverage`` of the
     words are hit. A NULL text is empty and has no words; items without words own no window and are
-    never found; items with equal text are all found. Repeated rows and NULL ids are scored like any
+    never found; items with equal text are all found; a NULL item id is an empty one, and items with equal
+    ids count once. Repeated rows and NULL ids are scored like any
     other row; other columns are not read; empty tables give no rows and no hits.
 
     The items are the stated query set: they are held as automata of at most ``block_words`` words, so

@@ -3,8 +3,9 @@
 Every source sends its documents in a seeded random order, then once more. A document's virtual finish
 time is the source's words sent up to and with it, divided by the source's target. Over all sources the
 documents are put into ranges of that time and taken in its order until the total budget is used up: at
-any time each source has sent the same share of its target. Only the range in which the budget ends has
-to be sorted to find the last document. Column expressions only.
+any time each source has sent the same share of its target. Only the range in which the budget ends, and
+of its finer ranges again the one in which it ends, has to be sorted to find the last document. Column
+expressions only.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandwork.functions.attach import attach
-from strandwork.llm.store import written
+from strandwork.llm.store import free_name, written
 from strandwork.llm.units import counted, expanded
 
 #: Hexadecimal digits of the random order that make the ranges in a source, and ranges of virtual time up to 1.
@@ -26,9 +27,7 @@ RANGES = 4096
 
 def word_count(text: Column) -> Column:
     """Words cut at ASCII white space; 0 for NULL."""
-    parts = F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+")
-    outer = (F.get(parts, F.lit(0)) == "").cast("int") + (F.element_at(parts, -1) == "").cast("int")
-    return F.greatest(F.size(parts) - outer, F.lit(0)).cast("bigint")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, repeats: int = 2) -> DataFrame:
@@ -105,23 +104,26 @@ def mixed_sources(
     finish = [F.when(F.col("size") > 0, F.try_divide(t, F.col("target"))) for t in turns]
 
     def time_range(time: Column) -> Column:
-        return F.floor(RANGES * F.when(time <= 1, time).otherwise(1 + F.ln(time)))
+        return F.floor(RANGES * RANGES * F.when(time <= 1, time).otherwise(1 + F.ln(time)))
 
     def place(k: int, time: Column) -> Column:
         return F.struct(time.alias("time"), "source", "id", F.lit(k).alias("turn"), "size", "copy")
 
     sent = queue.select("size", F.explode(F.array(*[place(k, t) for k, t in enumerate(finish)])).alias("at"))
-    sent = sent.filter("at.time IS NOT NULL").withColumn("range", time_range(F.col("at.time")))
-    ranges = sent.groupBy("range").agg(F.sum("size").alias("words"))
-    ranges = ranges.withColumn("upto", F.sum("words").over(W.orderBy("range")))
-    cut = ranges.filter(F.col("upto") > budget).orderBy("range").first()
-    if cut is None:
-        last, reached = None, None
-    else:
-        reached = cut["range"]
+    sent = sent.filter("at.time IS NOT NULL").withColumn("fine", time_range(F.col("at.time")))
+    sent = sent.withColumn("coarse", F.expr(f"fine div {RANGES}"))
+    last, reached, before = None, None, 0
+    for name in ("coarse", "fine"):
+        ranges = sent.groupBy(name).agg(F.sum("size").alias("words"))
+        ranges = ranges.withColumn("upto", F.lit(before) + F.sum("words").over(W.orderBy(name)))
+        cut = ranges.filter(F.col("upto") > budget).orderBy(name).first()
+        if cut is None:
+            break
+        reached, before = cut[name], cut["upto"] - cut["words"]
+        sent = sent.filter(F.col(name) == reached)
+    if reached is not None:
         order = W.orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
-        inside = sent.filter(F.col("range") == reached)
-        inside = inside.withColumn("upto", F.lit(cut["upto"] - cut["words"]) + F.sum("size").over(order))
+        inside = sent.withColumn("upto", F.lit(before) + F.sum("size").over(order))
         last = inside.filter(F.col("upto") <= budget).agg(F.max("at").alias("at"))
     times = F.lit(0)
     if last is not None:
@@ -141,17 +143,34 @@ def mixed_sources(
 def mixed_documents(
     docs: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", repeats: int = 2, **how
 ) -> DataFrame:
-    """The rows of ``docs`` with all their columns, each as often as ``mixed_sources`` takes it."""
+    """The rows of ``docs`` with all their columns, each as often as ``mixed_sources`` takes it.
+
+    Of rows with equal id, source and size the first by a hash of the text are taken, in every round; equal
+    rows take each other's place. Names of columns do not matter.
+    """
+    name = free_name(docs, "mix")
+    unit, mark, turns, here, number = (f"{name}_{x}" for x in ("unit", "mark", "turns", "here", "number"))
     plan = mixed_sources(docs, id, source, text, repeats=repeats, **how)
-    unit = F.struct(F.col(id).alias("id"), F.col(source).cast("string").alias("source"), F.col("size").alias("size"))
-    # Of rows with equal id, source and size the first ones are taken, in every round.
-    taken = [F.sum((F.col("times") > k).cast("bigint")).alias(f"_mix_{k}") for k in range(repeats)]
-    plan = plan.filter("times > 0").groupBy(unit.alias("_mix_unit")).agg(*taken)
-    size = word_count(F.col(text))
-    own = F.struct(F.col(id).alias("id"), F.col(source).cast("string").alias("source"), size.alias("size"))
-    rows = docs.withColumn("_mix_unit", own).join(plan, "_mix_unit")
-    copy = F.row_number().over(W.partitionBy("_mix_unit").orderBy(F.xxhash64(text)))
-    rows = rows.withColumn("_mix_copy", copy)
-    times = sum(((F.col("_mix_copy") <= F.col(f"_mix_{k}")).cast("int") for k in range(repeats)), F.lit(0))
-    rows = rows.withColumn("_mix_turn", F.explode(F.sequence(F.lit(0), times))).filter("_mix_turn > 0")
-    return rows.select(*docs.columns)
+    plan_unit = F.struct(F.col(id).alias("id"), F.col(source).alias("source"), F.col("size").alias("size"))
+    taken = [F.sum((F.col("times") > k).cast("bigint")) for k in range(repeats)]
+    both = F.struct(F.count("*").alias("n"), F.array(*taken).alias("taken"))
+    plan = plan.groupBy(plan_unit.alias(unit)).agg(both.alias(turns)).filter(F.array_max(f"{turns}.taken") > 0)
+    own = F.struct(F.col(id).alias("id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
+    rows = docs.withColumn(unit, own).withColumn(here, F.spark_partition_id()).withColumn(mark, F.xxhash64(text)).join(plan, unit)
+    # The budget ends inside a few units only; all others are taken as a whole or not.
+    whole = F.forall(f"{turns}.taken", lambda x: (x == 0) | (x == F.col(f"{turns}.n")))
+    times = F.size(F.filter(f"{turns}.taken", lambda x: x > 0))
+    # Written, so that every row is counted and numbered in the same place.
+    parts = written(rows.filter(~whole), "mixing-parts")
+    counts = parts.groupBy(unit, mark, here).agg(F.count("*").alias(number))
+    ahead = W.partitionBy(unit).orderBy(mark, here).rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.withColumn(number, F.coalesce(F.sum(number).over(ahead), F.lit(0)))
+    place = F.row_number().over(W.partitionBy(unit, mark, here).orderBy(F.lit(1)))
+    parts = parts.join(counts, [unit, mark, here]).withColumn(number, F.col(number) + place)
+    some = F.size(F.filter(f"{turns}.taken", lambda x: x >= F.col(number)))
+
+    def repeated(df: DataFrame, n: Column) -> DataFrame:
+        again = df.withColumn(here, F.explode(F.sequence(F.lit(0), n))).filter(F.col(here) > 0)
+        return again.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+    return repeated(rows.filter(whole), times).unionByName(repeated(parts, some))

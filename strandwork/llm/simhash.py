@@ -4,27 +4,25 @@ A fingerprint of 64 bits is cut into ``max_bits // 2 + 1`` segments. If two fing
 most ``max_bits`` bits, one of those segments differs in at most one bit, so both own the same variant
 of it with one bit masked. The variants are joined by equality and the pairs verified.
 
-A variant with more than ``crowd`` fingerprints is cut finer, not joined with itself: its members that
-belong together differ in at most ``max_bits`` of the other bits, so of ``max_bits + 1`` pieces of those
-one is equal. Chance meetings end there. What stays crowded are near copies, and they meet at midpoints:
-two fingerprints differ in at most 2r bits if and only if some value lies within r bits of both, and all
-members around one midpoint are linked to the smallest of them with a ``min``. No group is listed as
-pairs and nothing is left out.
+Only connections count, not pairs. Two fingerprints of a variant are a pair. The members of a larger one
+are cut finer: those that belong together differ in at most ``max_bits`` of the other bits, so of
+``max_bits + 1`` pieces of those one is equal. What still meets in threes or more is searched breadth-first
+in a task, where each member found leaves the search, so that a crowd of near copies takes a few steps;
+every member then has one link, to the smallest fingerprint it is connected with.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandwork.llm.store import written
+from strandwork.llm.store import free_name, written
 from strandwork.llm.words import texts
 from strandwork.operators.graph import connected_components
 
@@ -74,34 +72,21 @@ def segments(max_bits: int) -> list[tuple[int, int]]:
     return [(low, high - low) for low, high in pairwise(edges)]
 
 
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
 def variants(bits: Column, max_bits: int) -> Column:
     """Array of the segments of ``bits`` with one bit masked, as ``(slot, value)`` structs."""
     out = []
     for low, width in segments(max_bits):
         segment = F.shiftrightunsigned(bits, low).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
         for j in range(width):
-            mask = ~(1 << j)
+            mask = _signed(((1 << 64) - 1) ^ (1 << j))
             out.append(F.struct(F.lit(low + j).alias("slot"), segment.bitwiseAND(F.lit(mask)).alias("value")))
     return F.array(*out)
 
 
-def _signed(value: int) -> int:
-    return value - (1 << 64) if value >> 63 else value
-
-
-def _midpoints(members: DataFrame, max_bits: int) -> DataFrame:
-    """Links among ``members(bits)``, each to the smallest member around a shared midpoint.
-
-    For an odd limit the links are those of the next even one, verified afterwards.
-    """
-    radius = (max_bits + 1) // 2
-    flips = [_signed(sum(1 << i for i in c)) for r in range(radius + 1) for c in combinations(range(64), r)]
-    spread = members.select("bits", F.explode(F.array(*[F.lit(f) for f in flips])).alias("flip"))
-    spread = spread.select("bits", F.col("bits").bitwiseXOR(F.col("flip")).alias("mid"))
-    heads = spread.groupBy("mid").agg(F.min("bits").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return spread.join(heads.hint("merge"), "mid").filter("bits <> a").select("a", F.col("bits").alias("b")).distinct()
-
-
 def pieces(bits: Column, slot: Column, max_bits: int) -> Column:
     """Array of the bits outside the slot's segment, cut into ``max_bits + 1`` pieces that stay in place."""
     cut = None
@@ -115,8 +100,8 @@ def pieces(bits: Column, slot: Column, max_bits: int) -> Column:
     return cut
 
 
-def _met(spread: DataFrame, keys: list[str], max_bits: int, crowd: int) -> tuple[DataFrame, DataFrame]:
-    """The pairs ``(a, b)`` within groups of at most ``crowd`` members, and the rows of the larger groups.
+def _met(spread: DataFrame, keys: list[str], max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs ``(a, b)`` that are alone in their group, and the rows of the larger groups.
 
     All of these grow with the documents, so none is to be broadcast, whatever its estimated size.
     """
@@ -124,29 +109,69 @@ def _met(spread: DataFrame, keys: list[str], max_bits: int, crowd: int) -> tuple
     sizes = spread.groupBy(*keys).agg(F.count("*").alias("n"), F.min("bits").alias("a"), F.max("bits").alias("b"))
     sizes = written(sizes.filter("n > 1"), "simhash-groups")
     twos = sizes.filter((F.col("n") == 2) & near).select("a", "b")
-    some = sizes.filter((F.col("n") > 2) & (F.col("n") <= crowd)).select(*keys)
-    few = spread.join(some.hint("merge"), keys)
-    left, right = few.withColumnRenamed("bits", "a"), few.withColumnRenamed("bits", "b")
-    pairs = left.join(right.hint("merge"), keys).filter((F.col("a") < F.col("b")) & near).select("a", "b")
-    large = sizes.filter(F.col("n") > crowd).select(*keys)
-    return twos.unionByName(pairs), spread.join(large.hint("merge"), keys, "left_semi")
+    large = sizes.filter("n > 2").select(*keys)
+    return twos, spread.join(large.hint("merge"), keys, "left_semi")
+
+
+def heads(bits: np.ndarray, max_bits: int) -> np.ndarray:
+    """For each of some distinct fingerprints the first of those it is connected with."""
+    out = np.full(len(bits), -1)
+    left = np.arange(len(bits))
+    while len(left):
+        head, left = left[0], left[1:]
+        out[head] = head
+        front = np.array([head])
+        while len(front) and len(left):
+            width = max(1, (1 << 20) // len(left))
+            new = np.zeros(len(left), bool)
+            for i in range(0, len(front), width):
+                far = np.bitwise_count(bits[front[i : i + width], None] ^ bits[None, left])
+                new |= (far <= max_bits).any(axis=0)
+            front, left = left[new], left[~new]
+            out[front] = head
+    return out
+
+
+def _searched(rows: DataFrame, keys: list[str], max_bits: int) -> DataFrame:
+    """``(a, b)``: for the rows ``(bits, *keys)`` of each group, links from the smallest of what is connected."""
 
-
-def links(prints: DataFrame, max_bits: int = 4, crowd: int = 16) -> DataFrame:
-    """``(a, b)`` over distinct ``prints(bits)``: links within ``max_bits`` that connect all such pairs.
-
-    Pairs of a variant or piece with at most ``crowd`` members are all there; the members of larger pieces
-    are connected through midpoints (even ``max_bits``). ``crowd`` decides the way, never the components.
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [np.empty(0, np.int64)], None
+        for batch in batches:
+            bits = batch.column(0).to_numpy()
+            marks = np.stack([batch.column(k).to_numpy() for k in keys], axis=1)
+            cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist(), len(bits)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if i < j:
+                    if tuple(marks[i].tolist()) != at:
+                        yield from linked(np.concatenate(held))
+                        held, at = [], tuple(marks[i].tolist())
+                    held.append(bits[i:j])
+        yield from linked(np.concatenate(held))
+
+    def linked(bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+        bits = np.sort(bits)
+        head = heads(bits, max_bits)
+        b = np.flatnonzero(head != np.arange(len(bits)))
+        if len(b):
+            yield pa.RecordBatch.from_arrays([pa.array(bits[head[b]]), pa.array(bits[b])], names=["a", "b"])
+
+    own = rows.select("bits", *keys).repartition(*keys).sortWithinPartitions(*keys)
+    return own.mapInArrow(kernel, "a bigint, b bigint")
+
+
+def links(prints: DataFrame, max_bits: int = 4) -> DataFrame:
+    """``(a, b)`` over distinct ``prints(bits)``: links that connect all that differ in at most ``max_bits`` bits.
+
+    A link joins two members of one component, and all components are connected; not every pair is a link.
     """
-    if max_bits % 2:
-        raise ValueError("max_bits must be even: midpoints cover even distances")
     spread = prints.select("bits", F.inline(variants(F.col("bits"), max_bits)))
-    pairs, crowded = _met(spread, ["slot", "value"], max_bits, crowd)
+    pairs, crowded = _met(spread, ["slot", "value"], max_bits)
     crowded = written(crowded.select("bits", "slot", "value"), "simhash-crowded")
     cut = F.posexplode(pieces(F.col("bits"), F.col("slot"), max_bits)).alias("part", "piece")
-    finer, copies = _met(crowded.select("*", cut), ["slot", "value", "part", "piece"], max_bits, crowd)
-    stars = _midpoints(copies.select("bits").distinct(), max_bits)
-    return pairs.unionByName(finer).unionByName(stars).distinct()
+    keys = ["slot", "value", "part", "piece"]
+    finer, copies = _met(crowded.select("*", cut), keys, max_bits)
+    return pairs.unionByName(finer).unionByName(_searched(copies, keys, max_bits)).distinct()
 
 
 def near_duplicates(
@@ -155,7 +180,6 @@ def near_duplicates(
     text: str = "text",
     shingle: int = 4,
     max_bits: int = 4,
-    crowd: int = 16,
 ) -> DataFrame:
     """``(id, fingerprint, component_id)`` for every row of ``docs``.
 
@@ -166,13 +190,13 @@ def near_duplicates(
     not read. An empty table gives an empty result.
     """
     prints = written(fingerprints(docs, id, text, shingle).withColumnRenamed(id, "id"), "simhash-prints")
-    heads = written(prints.groupBy("bits").agg(F.min("id").alias("head")), "simhash-heads")
-    groups = connected_components(links(heads.select("bits"), max_bits, crowd))
+    smallest_ids = written(prints.groupBy("bits").agg(F.min("id").alias("head")), "simhash-heads")
+    groups = connected_components(links(smallest_ids.select("bits"), max_bits))
     groups = groups.withColumnsRenamed({"id": "bits", "component": "group"})
-    tied = heads.join(groups.hint("merge"), "bits")
+    tied = smallest_ids.join(groups.hint("merge"), "bits")
     ids = tied.groupBy("group").agg(F.min("head").alias("smallest"))
     smallest = tied.join(ids.hint("merge"), "group").select("bits", "smallest")
-    every = heads.join(smallest.hint("merge"), "bits", "left").select("bits", F.coalesce("smallest", "head").alias("component_id"))
+    every = smallest_ids.join(smallest.hint("merge"), "bits", "left").select("bits", F.coalesce("smallest", "head").alias("component_id"))
     return prints.join(every.hint("merge"), "bits").select(
         F.col("id").alias(id), F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id"
     )
@@ -184,10 +208,10 @@ def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", **how)
     The one with the smallest id stays (NULL is the largest), among equal ids that with the smallest text
     hash, and of equal rows any one.
     """
+    name = free_name(docs, "simhash_key")
     key = F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), F.xxhash64(text).alias("mark"))
-    keyed = docs.withColumn("_simhash_key", key)
-    found = near_duplicates(keyed, "_simhash_key", text, **how)
-    heads = found.filter(F.col("_simhash_key") == F.col("component_id")).select("_simhash_key").distinct()
-    first = F.row_number().over(W.partitionBy("_simhash_key").orderBy(F.lit(1)))
-    kept = keyed.join(heads.hint("merge"), "_simhash_key", "left_semi").withColumn("_simhash_turn", first)
-    return kept.filter("_simhash_turn = 1").select(*docs.columns)
+    keyed = docs.withColumn(name, key)
+    found = near_duplicates(keyed, name, text, **how)
+    first = found.filter(F.col(name) == F.col("component_id")).select(name).distinct()
+    # Equal rows meet in a partial aggregate, not in one task.
+    return keyed.join(first.hint("merge"), name, "left_semi").dropDuplicates([name]).select(*docs.columns)

@@ -19,3 +19,11 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     folder = fresh_folder(df, name)
     df.write.option("compression", codec).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores ahead of it as it takes that no column of ``df`` begins like it."""
+    taken = [c.lower() for c in df.columns]
+    while any(c.startswith(name) for c in taken):
+        name = f"_{name}"
+    return name

@@ -31,8 +31,12 @@ STRIDE = 1024
 BLOCK_IDS = 1 << 16
 MOST_BITS = 16
 
-_RUN_BYTES = 4 << 20
-_CACHED_PIECES = 1_000_000
+_RUN_BYTES = 512 << 10
+#: Bytes that a worker keeps of pieces it has encoded, and of pieces that it encodes at a time.
+_KEPT_BYTES = 32 << 20
+_LINE_BYTES = 64 << 10
+#: Ids of one part of the files.
+_PART_IDS = 32 << 20
 
 
 # -- tokenising
@@ -43,8 +47,10 @@ class PieceEncoder:
 
     The pre-tokeniser of byte-level BPE never joins what stands before a space that precedes a word, nor
     the words on both sides of a newline. Between such places a text is cut into pieces, each distinct
-    piece is encoded once by the tokenizers library, and remembered by the worker for later batches (up
-    to a bound). A text with any other white space, where these places differ, is encoded whole.
+    piece is encoded once by the tokenizers library, and remembered by the worker for later batches, up to
+    a number of bytes. Pieces are found by a hash, and every one is compared with the bytes remembered. A
+    text with any other white space, where these places differ, is encoded whole, as is one with a piece
+    that shares its hash with another.
     """
 
     _shared: dict[str, PieceEncoder] = {}
@@ -68,31 +74,55 @@ class PieceEncoder:
     def forget(self) -> None:
         self.keys = np.empty(0, np.uint64)
         self.slot = np.empty(0, np.int64)  # of each key, ascending keys
-        self.begin = np.zeros(1, np.int64)  # of each slot in ``ids``, one more at the end
-        self.ids = np.empty(0, np.uint32)
+        self.begin = _Grown(np.zeros(1, np.int64))  # of each slot in ``ids``, one more at the end
+        self.ids = _Grown(np.empty(0, np.uint32))
+        self.bytes_begin = _Grown(np.zeros(1, np.int64))  # the same for the text of the pieces
+        self.bytes = _Grown(np.empty(0, np.uint8))
+
+    def kept_bytes(self) -> int:
+        held = (self.begin, self.ids, self.bytes_begin, self.bytes)
+        return self.keys.nbytes + self.slot.nbytes + sum(h.data.nbytes for h in held)
 
     def encode(self, run: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a run of texts, and how many each text has."""
-        sizes = np.zeros(len(run), np.int64)
         odd = _odd(run)
-        begin, row = _pieces(run, ~odd)
-        end = np.append(begin[1:], len(run.data))
-        last = np.append(row[1:] != row[:-1], True) if len(row) else np.empty(0, bool)
-        end[last] = run.starts[row[last] + 1]
-        keys = range_hashes(prefix_sums(run.data), begin, end)
-        distinct, first, at = np.unique(keys, return_index=True, return_inverse=True)
-        slots = self._slots(run, distinct, begin[first], end[first])[at]
-        lengths = self.begin[slots + 1] - self.begin[slots]
+        while True:
+            begin, row = _pieces(run, ~odd)
+            end = np.append(begin[1:], len(run.data))
+            last = np.append(row[1:] != row[:-1], True) if len(row) else np.empty(0, bool)
+            end[last] = run.starts[row[last] + 1]
+            keys = range_hashes(prefix_sums(run.data), begin, end)
+            distinct, first, at = np.unique(keys, return_index=True, return_inverse=True)
+            slots = self._slots(run, distinct, begin[first], end[first])[at]
+            other = self._differ(run, slots, begin, end)
+            if not other.any():
+                break
+            odd[row[other]] = True
+        offsets = self.begin.array
+        lengths = offsets[slots + 1] - offsets[slots]
         stops = np.cumsum(lengths)
         total = int(stops[-1]) if len(stops) else 0
-        source = np.repeat(self.begin[slots] - (stops - lengths), lengths)
+        source = np.repeat(offsets[slots] - (stops - lengths), lengths)
         source += np.arange(total)
-        ids = self.ids[source]
-        sizes += np.bincount(row, weights=lengths, minlength=len(run)).astype(np.int64)
+        ids = self.ids.array[source]
+        sizes = np.bincount(row, weights=lengths, minlength=len(run)).astype(np.int64)
         if odd.any():
             ids, sizes = self._with_odd(run, odd, ids, sizes)
         return ids, sizes
 
+    def _differ(self, run: Texts, slots: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Pieces whose bytes are not those remembered."""
+        offsets = self.bytes_begin.array
+        sizes = end - begin
+        differ = offsets[slots + 1] - offsets[slots] != sizes
+        same = np.flatnonzero(~differ)
+        sizes, stops = sizes[same], np.cumsum(sizes[same])
+        steps = np.arange(int(stops[-1]) if len(stops) else 0)
+        mine = run.data[np.repeat(begin[same] - (stops - sizes), sizes) + steps]
+        theirs = self.bytes.array[np.repeat(offsets[slots[same]] - (stops - sizes), sizes) + steps]
+        differ[same[np.searchsorted(stops, np.flatnonzero(mine != theirs), "right")]] = True
+        return differ
+
     def _with_odd(self, run: Texts, odd: np.ndarray, ids: np.ndarray, sizes: np.ndarray):
         cuts = np.cumsum(sizes)[:-1]
         parts = np.split(ids, cuts)
@@ -102,24 +132,27 @@ class PieceEncoder:
         return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
 
     def _slots(self, run: Texts, keys: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        if len(self.keys) > _CACHED_PIECES:
+        if self.kept_bytes() > _KEPT_BYTES:
             self.forget()
         at = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), bool)
         if len(self.keys):
             known = self.keys[np.minimum(at, len(self.keys) - 1)] == keys
         if not known.all():
-            new = ~known
-            whole = run.data.tobytes()
-            self._learn(keys[new], [whole[a:b].decode() for a, b in zip(begin[new].tolist(), end[new].tolist(), strict=True)])
+            self._learn(run, keys[~known], begin[~known], end[~known])
             at = np.searchsorted(self.keys, keys)
         return self.slot[at]
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        ids, lengths = self._encoded(pieces)
-        slots = len(self.begin) - 1 + np.arange(len(pieces))
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(lengths)])
-        self.ids = np.concatenate([self.ids, ids])
+    def _learn(self, run: Texts, keys: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        slots = len(self.begin.array) - 1 + np.arange(len(keys))
+        stops = np.cumsum(end - begin)
+        for part in np.split(np.arange(len(keys)), np.flatnonzero(np.diff(stops // _LINE_BYTES)) + 1):
+            whole = [run.data[a:b].tobytes() for a, b in zip(begin[part].tolist(), end[part].tolist(), strict=True)]
+            ids, lengths = self._encoded([w.decode() for w in whole])
+            self.begin.add(self.begin.array[-1] + np.cumsum(lengths))
+            self.ids.add(ids)
+            self.bytes.add(np.frombuffer(b"".join(whole), np.uint8))
+            self.bytes_begin.add(self.bytes_begin.array[-1] + np.cumsum(end[part] - begin[part]))
         places = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, places, keys)
         self.slot = np.insert(self.slot, places, slots)
@@ -147,6 +180,26 @@ class PieceEncoder:
         return out, lengths
 
 
+class _Grown:
+    """An array that grows at its end, by a quarter at a time."""
+
+    def __init__(self, first: np.ndarray):
+        self.data, self.size = first, len(first)
+
+    @property
+    def array(self) -> np.ndarray:
+        return self.data[: self.size]
+
+    def add(self, values: np.ndarray) -> None:
+        size = self.size + len(values)
+        if size > len(self.data):
+            wider = np.empty(max(size, len(self.data) * 5 // 4), self.data.dtype)
+            wider[: self.size] = self.array
+            self.data = wider
+        self.data[self.size : size] = values
+        self.size = size
+
+
 def _odd(run: Texts) -> np.ndarray:
     """Texts with white space other than space and newline (or with bytes that may be such)."""
     data = run.data
@@ -212,8 +265,8 @@ def encoded(docs: DataFrame, id: str, text: str, tokenizer: str, end_id: int) ->
                 place += len(run)
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "crc", "place", "n", "ids"])
 
-    rows = docs.select(F.col(id).cast("bigint"), text)
-    return rows.mapInArrow(kernel, "id bigint, crc bigint, place bigint, n bigint, ids binary")
+    kind = docs.schema[id].dataType.simpleString()
+    return docs.select(id, text).mapInArrow(kernel, f"id {kind}, crc bigint, place bigint, n bigint, ids binary")
 
 
 def _packed(ids: np.ndarray) -> bytes:
@@ -330,18 +383,19 @@ class Codebook:
 # -- files
 
 
-_BLOCK = (
-    "part int, block bigint, start bigint, n_ids bigint, doc_ids array<bigint>, sizes array<bigint>, "
-    "checkpoints array<bigint>, bits binary"
-)
+def _block_schema(kind: str) -> str:
+    return (
+        f"part int, block bigint, start bigint, n_ids bigint, doc_ids array<{kind}>, sizes array<bigint>, "
+        "checkpoints array<bigint>, bits binary"
+    )
 
 
 def write_ids(docs: DataFrame, id: str, text: str, tokenizer: str, end_id: int, most_bits: int = MOST_BITS) -> str:
     """Tokenise ``docs`` and write them in ascending order of ``id``; returns the folder.
 
     Each document is its whole text (NULL: empty) and the end id. NULL ids come first; rows with equal ids
-    are ordered by the checksum of their token ids, so only equal rows can change places. Other columns
-    are not read; an empty table gives a folder without blocks.
+    are ordered by the checksum of their token ids, so only equal rows can change places. Ids are of any
+    type with an order. Other columns are not read; an empty table gives a folder without blocks.
     """
     rows = written(encoded(docs, id, text, tokenizer, end_id), "tokens-ids")
 
@@ -370,18 +424,20 @@ def write_ids(docs: DataFrame, id: str, text: str, tokenizer: str, end_id: int,
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Codebook(*held.value)
         part, block, start = TaskContext.get().partitionId(), 0, 0
-        doc_ids: list[int | None] = []
+        id_type: pa.DataType = pa.int64()
+        doc_ids: list = []
         held_ids: list[np.ndarray] = []
         size = 0
 
         def sealed() -> pa.RecordBatch:
             bits, checkpoints = code.encode(np.concatenate(held_ids))
             row = [[part], [block], [start], [size], [doc_ids], [[len(h) for h in held_ids]], [checkpoints], [bits]]
-            kinds = [pa.int32(), *[pa.int64()] * 3, *[pa.list_(pa.int64())] * 3, pa.binary()]
+            kinds = [pa.int32(), *[pa.int64()] * 3, pa.list_(id_type), *[pa.list_(pa.int64())] * 2, pa.binary()]
             names = ["part", "block", "start", "n_ids", "doc_ids", "sizes", "checkpoints", "bits"]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=names)
 
         for batch in batches:
+            id_type = batch.column(0).type
             cells = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)
             for doc, n, data in cells:
                 doc_ids.append(doc)
@@ -394,10 +450,11 @@ def write_ids(docs: DataFrame, id: str, text: str, tokenizer: str, end_id: int,
         if held_ids:
             yield sealed()
 
-    parts = max(1, int(session.conf.get("spark.sql.shuffle.partitions")))
+    total = int(counts["count"].to_numpy().sum()) if len(ids) else 0
+    parts = max(1, int(session.conf.get("spark.sql.shuffle.partitions")), -(-total // _PART_IDS))
     order = ["id", "crc", "place"]
     ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("id", "n", "ids")
-    ranged.mapInArrow(pack, _BLOCK).write.option("compression", "none").parquet(f"{folder}/blocks")
+    ranged.mapInArrow(pack, _block_schema(rows.schema["id"].dataType.simpleString())).write.option("compression", "none").parquet(f"{folder}/blocks")
     return folder
 
 
@@ -407,7 +464,8 @@ def read_ids(spark: SparkSession, folder: str, digest: bool = False) -> DataFram
     ``start`` counts the ids of all documents before it. With ``digest`` the ids come as ``ids_crc32``,
     the checksum of their little-endian unsigned 32-bit form, instead.
     """
-    blocks = spark.read.schema(_BLOCK).parquet(f"{folder}/blocks")
+    blocks = spark.read.parquet(f"{folder}/blocks")
+    kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
     book = spark.read.parquet(f"{folder}/codebook").orderBy("token").toArrow()  # bounded by the vocabulary
     held = spark.sparkContext.broadcast((book["token"].to_numpy(), book["length"].to_numpy().astype(np.int64)))
     last = ("ids_crc32", "bigint") if digest else ("ids", "array<bigint>")
@@ -423,7 +481,7 @@ def read_ids(spark: SparkSession, folder: str, digest: bool = False) -> DataFram
                     some = []
 
     rows = blocks.select("part", "start", "n_ids", "doc_ids", "sizes", "checkpoints", "bits").mapInArrow(
-        kernel, f"part int, doc_id bigint, start bigint, n_tokens bigint, {last[0]} {last[1]}"
+        kernel, f"part int, doc_id {kind}, start bigint, n_tokens bigint, {last[0]} {last[1]}"
     )
     totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("ids_of_part"))
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)

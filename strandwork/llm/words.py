@@ -1,7 +1,7 @@
 """Arrow text columns as numpy arrays: whole texts, words and 64-bit word hashes.
 
-Texts are handled as UTF-8 bytes in slices of a few megabytes, so that the memory of a task follows
-the slice (or the longest single text) and not the partition.
+Texts are handled as UTF-8 bytes in slices of ``SLICE_BYTES``, so that the memory of a task follows the
+slice (or the longest single text) and not the partition. Nothing longer than a slice is kept between calls.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 256 << 10
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
@@ -98,13 +98,14 @@ def words(run: Texts, inside: np.ndarray) -> Words:
 
 
 def _power_table(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers, kept up to a slice's length."""
     table = _powers.get(base)
     if table is None or len(table) < n:
-        size = 1 << max(12, (n - 1).bit_length())
-        table = np.full(size, base, np.uint64)
+        table = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
         table[0] = 1
         np.multiply.accumulate(table, out=table)
-        _powers[base] = table
+        if n <= SLICE_BYTES + 1:
+            _powers[base] = table
     return table[:n]
 
 
