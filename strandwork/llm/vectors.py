@@ -1,15 +1,16 @@
 """Near-duplicate vectors through randomised-rotation binary codes.
 
 Vectors of one label are linked when their cosine reaches a threshold. First, vectors whose codes share
-their leading bits are gathered around leaders: a member lies within ``RADIUS`` of its leader, so all
-members are linked with each other and a crowd of copies becomes one leader with a size and a radius.
+their leading bits are gathered into groups so narrow that all members are linked with each other. A group
+goes by its centre, a size and a radius, so that a crowd of copies becomes a few groups. Most groups have a
+single member.
 
-Leaders meet in cells, which are leading bits of codes under further rotations, in as many tables as the
+Centres meet in cells, which are leading bits of codes under further rotations, in as many tables as the
 wanted recall takes. In a cell one side is its binary code with a correction factor, the other the rotated
 vector in four bits a component. Their product over the factor is an unbiased estimate of the inner
 product, and the factor gives its error. Pairs whose upper confidence bound misses the threshold are done;
 the others are computed anew from the vectors. The angle and the two radii then say that all members of two
-leaders are linked, or none, or (a pair that straddles the threshold) that members have to be compared.
+groups are linked, or none, or (a pair that straddles the threshold) that members have to be compared.
 """
 
 from __future__ import annotations
@@ -27,11 +28,13 @@ from pyspark.sql import functions as F
 from strandwork.llm.store import written
 from strandwork.operators.graph import connected_components
 
-#: Greatest angle between a member and its leader.
-RADIUS = math.radians(2.0)
+#: Rows of one key that are gathered at a time.
+GATHERED = 1 << 16
+#: Angle beyond the threshold for which tables are planned: centres may lie that much further apart than members.
+SLACK = math.radians(4.0)
 #: Standard deviations of the estimate up to which a pair is recomputed.
 CONFIDENCE = 4.0
-#: Chance to miss a pair at the threshold, and leaders of a label in one cell, on average.
+#: Chance to miss a pair at the threshold, and groups of a label in one cell, on average.
 MISSED, CELL = 0.002, 32
 _SURE = 1e-9
 _BLOCK = 1024
@@ -92,53 +95,39 @@ def _usable(vectors: DataFrame, id: str, vector: str, label: str) -> tuple[DataF
     return vectors.select(id, vector, label).mapInArrow(kernel, schema), kind
 
 
-class _Leaders:
-    """Leaders of one label and key, while its vectors go by."""
-
-    def __init__(self):
-        self.rows: list[int] = []
-        self.vecs: list[bytes] = []
-        self.count: list[int] = []
-        self.radius: list[float] = []
-        self.least: list = []
-        self.unit = np.empty((0, 0))
-
-    def gather(self, rows: list[int], vecs: list[bytes], ids: list, kind: str) -> tuple[np.ndarray, np.ndarray]:
-        """The leader (by number) of each vector, and the angle to it; new leaders as they are needed."""
-        x = units(vecs, kind)
-        mine, angle = np.full(len(rows), -1), np.zeros(len(rows))
-        for k in range(len(self.rows)):
-            self._take(k, x, mine, angle)
-        while (mine < 0).any():
-            i = int((mine < 0).argmax())
-            self.rows.append(rows[i])
-            self.vecs.append(vecs[i])
-            self.count.append(0)
-            self.radius.append(0.0)
-            self.least.append(None)
-            self.unit = np.vstack([self.unit.reshape(-1, x.shape[1]), x[i : i + 1]])
-            self._take(len(self.rows) - 1, x, mine, angle)
-        for k, a, id in zip(mine.tolist(), angle.tolist(), ids, strict=True):
-            self.count[k] += 1
-            self.radius[k] = max(self.radius[k], a)
-            if id is not None and (self.least[k] is None or id < self.least[k]):
-                self.least[k] = id
-        return mine, angle
-
-    def _take(self, k: int, x: np.ndarray, mine: np.ndarray, angle: np.ndarray) -> None:
-        free = np.flatnonzero(mine < 0)
-        a = _angles(x[free], self.unit[k])
-        near = a <= RADIUS
-        mine[free[near]], angle[free[near]] = k, a[near]
-
+def narrow_groups(x: np.ndarray, widest: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(group of each row, first row, centre, radius of each group)`` for unit vectors.
 
-def _gathered(rows: DataFrame, kind: str) -> DataFrame:
-    """Members ``(leader, row, id, angle, vec)`` and, with a ``size``, groups ``(leader, vec, size, radius, least)``.
-
-    Vectors are dealt by ranges of label, key and row: a key with a third of all rows lies in several tasks,
-    each of which finds leaders of its own.
+    A row joins the first group whose first row is within ``widest`` of it. The centre is the mean of the
+    members unless the first row serves better; no radius exceeds ``widest``.
+    """
+    mine, heads, centres, radii = np.full(len(x), -1), [], [], []
+    while (mine < 0).any():
+        free = np.flatnonzero(mine < 0)
+        angles = _angles(x[free], x[free[0]])
+        angles[0] = 0.0
+        members, angles = free[angles <= widest], angles[angles <= widest]
+        mine[members] = len(heads)
+        centre, radius = x[free[0]], float(angles.max())
+        if radius > 0:
+            mean = x[members].mean(axis=0).astype(np.float32).astype(np.float64)
+            mean /= np.sqrt((mean * mean).sum())
+            around = float(_angles(x[members], mean).max())
+            if around < radius:
+                centre, radius = mean, around
+        heads.append(free[0])
+        centres.append(centre)
+        radii.append(radius)
+    return mine, np.array(heads), np.array(centres), np.array(radii)
+
+
+def _gathered(rows: DataFrame, kind: str, widest: float) -> DataFrame:
+    """Members ``(leader, row, id, vec)`` and, with a ``size``, groups ``(leader, vec, size, radius, least)``.
+
+    ``leader`` is the number of a group's first row. The vector of a member is NULL if it is the group's.
+    Vectors are dealt by ranges of key, label and row: a key with a third of all rows lies in several tasks,
+    each of which makes groups of its own, of at most ``GATHERED`` rows at a time.
     """
-    shown = {f.name: f.dataType.simpleString() for f in rows.schema}
     n = rows.filter("key IS NOT NULL").count()
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     bits = min(62, max(14, (n // CELL).bit_length()))
@@ -148,47 +137,57 @@ def _gathered(rows: DataFrame, kind: str) -> DataFrame:
     own = own.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, leaders, label, dim = None, _Leaders(), None, 0
+        at, held, size = None, [], 0
         for batch in batches:
-            homes, labels, dims = (batch.column(c).to_pylist() for c in ("home", "label", "dim"))
-            keys = list(zip(homes, labels, dims, strict=True))
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("home", "label", "dim")), strict=True))
             i = 0
             while i < len(keys):
                 j = i + 1
                 while j < len(keys) and keys[j] == keys[i]:
                     j += 1
-                if keys[i] != at:
-                    if leaders.rows:
-                        yield groups(leaders, label, dim, batch.schema)
-                    at, leaders, label, dim = keys[i], _Leaders(), labels[i], dims[i]
-                part = batch.slice(i, j - i)
-                number, vecs = part.column("row").to_pylist(), part.column("vec").to_pylist()
-                mine, angle = leaders.gather(number, vecs, part.column("id").to_pylist(), kind)
-                heads = [leaders.rows[k] for k in mine.tolist()]
-                vecs = [None if r == h else v for r, h, v in zip(number, heads, vecs, strict=True)]
-                yield shaped(batch.schema, len(number), leader=heads, row=number, id=part.column("id"), angle=angle, vec=vecs,
-                             label=part.column("label"), dim=part.column("dim"))
+                if held and (keys[i] != at or size >= GATHERED):
+                    yield from gathered(held)
+                    held, size = [], 0
+                at = keys[i]
+                held.append(batch.slice(i, j - i))
+                size += j - i
                 i = j
-        if leaders.rows:
-            yield groups(leaders, label, dim, batch.schema)
-
-    def groups(found: _Leaders, label, dim: int, schema: pa.Schema) -> pa.RecordBatch:
-        n = len(found.rows)
-        return shaped(schema, n, leader=found.rows, vec=found.vecs, size=found.count, radius=found.radius,
-                      least=found.least, label=[label] * n, dim=[dim] * n)
-
-    def shaped(schema: pa.Schema, n: int, **have) -> pa.RecordBatch:
-        kinds = {"leader": pa.int64(), "row": pa.int64(), "id": schema.field("id").type, "angle": pa.float64(),
-                 "label": schema.field("label").type, "dim": pa.int32(), "vec": pa.binary(), "size": pa.int64(),
-                 "radius": pa.float64(), "least": schema.field("id").type}
+        if held:
+            yield from gathered(held)
+
+    def gathered(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        vecs, ids = table["vec"].to_pylist(), table["id"].to_pylist()
+        mine, first, centres, radii = narrow_groups(units(vecs, kind), widest)
+        size = np.bincount(mine)
+        leader = table["row"].to_numpy()[first]
+        least: list = [None] * len(first)
+        for k, id in zip(mine.tolist(), ids, strict=True):
+            if id is not None and (least[k] is None or id < least[k]):
+                least[k] = id
+        # A group without extent keeps the very vector of its members.
+        middle = [vecs[f] if r == 0 else c.astype(kind).tobytes() for f, c, r in zip(first, centres, radii, strict=True)]
+        vecs = [None if radii[k] == 0 else v for k, v in zip(mine.tolist(), vecs, strict=True)]
+        yield shaped(table, leader=leader[mine], row=table["row"], id=table["id"], vec=vecs)
+        yield shaped(table, leader=leader, vec=middle, size=size, radius=radii + (radii > 0) * 1e-6, least=least)
+
+    def shaped(table: pa.Table, **have) -> pa.RecordBatch:
+        id, label = (table.schema.field(c).type for c in ("id", "label"))
+        n = len(have["leader"])
+        have |= {"label": [table["label"][0].as_py()] * n, "dim": [table["dim"][0].as_py()] * n}
+        kinds = {"leader": pa.int64(), "row": pa.int64(), "id": id, "label": label, "dim": pa.int32(), "vec": pa.binary(),
+                 "size": pa.int64(), "radius": pa.float64(), "least": id}
         arrays = []
-        for name, kind in kinds.items():
+        for name, to in kinds.items():
             values = have.get(name)
-            arrays.append(pa.nulls(n, kind) if values is None else values if isinstance(values, pa.Array) else pa.array(values, kind))
+            if isinstance(values, pa.ChunkedArray):
+                values = values.combine_chunks()
+            arrays.append(pa.nulls(n, to) if values is None else values if isinstance(values, pa.Array) else pa.array(values, to))
         return pa.RecordBatch.from_arrays(arrays, names=list(kinds))
 
-    schema = f"leader bigint, row bigint, id {shown['id']}, angle double, label {shown['label']}, dim int, vec binary, "
-    return written(own.mapInArrow(kernel, schema + f"size bigint, radius double, least {shown['id']}"), "vectors-gathered")
+    id, label = (rows.schema[c].dataType.simpleString() for c in ("id", "label"))
+    schema = f"leader bigint, row bigint, id {id}, label {label}, dim int, vec binary, size bigint, radius double, least {id}"
+    return written(own.mapInArrow(kernel, schema), "vectors-gathered")
 
 
 def table_plan(most: int, angle: float) -> tuple[int, int]:
@@ -199,7 +198,7 @@ def table_plan(most: int, angle: float) -> tuple[int, int]:
 
 
 def _cells(groups: DataFrame, kind: str, bits: int, tables: int) -> DataFrame:
-    """``(cell, leader, radius, dim, code, factor, fine, low, step)``: every leader once for each table."""
+    """``(cell, leader, radius, dim, code, factor, fine, low, step)``: every group once for each table."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,7 +237,7 @@ def _cells(groups: DataFrame, kind: str, bits: int, tables: int) -> DataFrame:
 
 
 def _proposed(cells: DataFrame, angle: float) -> DataFrame:
-    """``(a, b)``: pairs of leaders of a cell that may lie within ``angle`` and their radii of each other."""
+    """``(a, b)``: pairs of groups of a cell whose centres may lie within ``angle`` and both radii."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -338,11 +337,11 @@ def near_duplicates(
     """
     coded, kind = _usable(vectors, id, vector, label)
     rows = written(coded, "vectors-rows")
-    gathered = _gathered(rows, kind)
+    limit = math.acos(threshold)
+    gathered = _gathered(rows, kind, limit / 2 - 1e-6)
     groups, members = gathered.filter("size IS NOT NULL"), gathered.filter("size IS NULL")
     most = groups.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    limit = math.acos(threshold)
-    pairs = written(_proposed(_cells(groups, kind, *table_plan(most, limit + 2 * RADIUS)), limit), "vectors-pairs")
+    pairs = written(_proposed(_cells(groups, kind, *table_plan(most, limit + SLACK)), limit), "vectors-pairs")
     met = pairs.select(F.explode(F.array("a", "b")).alias("leader")).distinct()
     needed = written(groups.join(met, "leader", "left_semi"), "vectors-needed")
 
