@@ -1,4 +1,4 @@
-"""Encoding, distributed scoring and the linear baseline models."""
+"""Distributed scoring and the linear baseline models."""
 
 from __future__ import annotations
 
@@ -10,58 +10,14 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandwork.functions.sequences import framed, kgrams
-from strandwork.operators.selection import key_position
-
-#: Parts into which the occurrences of one word are spread for the vocabulary join.
-WORD_SALTS = 16
+from strandwork.functions.sequences import kgrams
 
 Scorer = Callable[[list], np.ndarray]
 
 
-def fit_vocabulary(df: DataFrame, words: Column, *, first_id: int = 5) -> DataFrame:
-    """``(word, id)`` of the distinct words in word order; ids below ``first_id`` are reserved."""
-    found = df.select(F.explode(words).alias("word")).filter("word is not null").distinct()
-    placed = key_position(found, ["word"], into="id")
-    return placed.select("word", (F.col("id") + first_id).cast("int").alias("id"))
-
-
-def encode(
-    df: DataFrame,
-    words: Column,
-    vocabulary: DataFrame,
-    *,
-    id: str,
-    length: int = 512,
-    unknown: int = 1,
-    pad: int = 0,
-    start: int | None = 2,
-    end: int | None = 3,
-) -> DataFrame:
-    """Add ``input_ids`` and ``attention_mask`` of fixed ``length``; ``id`` must be unique.
-
-    The words that fit into a row are joined with the vocabulary ``(word, id)``, of any size, and put
-    back by position. Equal words are salted, so that a frequent one is no hot key.
-    """
-    room = length - (start is not None) - (end is not None)
-    rows = df.withColumn("_words", F.slice(words, 1, room))
-    found = rows.select(F.col(id).alias("_id"), F.posexplode("_words").alias("_at", "_word"))
-    found = found.withColumn("_salt", F.pmod(F.xxhash64("_id", "_at"), F.lit(WORD_SALTS)))
-    book = vocabulary.select(
-        F.col("word").alias("_word"), F.col("id").alias("_token"), F.explode(F.sequence(F.lit(0), F.lit(WORD_SALTS - 1))).alias("_salt")
-    )
-    token = F.struct("_at", F.coalesce("_token", F.lit(unknown)).cast("int").alias("_token"))
-    tokens = found.join(book, ["_word", "_salt"], "left").groupBy("_id").agg(F.array_sort(F.collect_list(token)).alias("_tokens"))
-    joined = rows.join(tokens, rows[id].eqNullSafe(tokens["_id"]), "left")
-    none = F.when(F.col("_words").isNotNull(), F.array().cast("array<int>"))
-    ids = F.coalesce(F.transform("_tokens", lambda t: t["_token"]), none)
-    pair = framed(ids, length=length, pad=pad, start=start, end=end)
-    return joined.withColumn("_pair", pair).select(*df.columns, "_pair.input_ids", "_pair.attention_mask")
-
-
 def batch_score(
     df: DataFrame, *, id: str, feature: str, truth: str, factory: Callable[[], Scorer], batch_rows: int = 32
 ) -> DataFrame:

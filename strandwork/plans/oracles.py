@@ -232,6 +232,20 @@ def _source_split(rows: str) -> str:
     THEN 'train' ELSE 'test' END AS split FROM (SELECT DISTINCT source FROM {rows}))"""
 
 
+
+def _encoded(words: str, known: str, length: int) -> str:
+    """Ids of the words of ``known`` in word order; others are 1."""
+    room = length - 2
+    return f"""WITH lists AS (SELECT doc_id, source, {words} AS c FROM documents),
+  words AS (SELECT doc_id, source, unnest(c) AS word FROM lists),
+  vocabulary AS (SELECT word, row_number() OVER (ORDER BY word) + 4 AS id FROM (SELECT DISTINCT word FROM ({known}))),
+  spots AS (SELECT doc_id, unnest(c[1:{room}]) AS word, unnest(range(1, least(len(c), {room}) + 1)) AS i FROM lists),
+  ids AS (SELECT doc_id, list(coalesce(id, 1) ORDER BY i) AS ids FROM spots LEFT JOIN vocabulary USING (word) GROUP BY doc_id),
+  framed AS (SELECT doc_id, list_concat(list_concat([2], ids), [3]) AS f FROM ids)
+  SELECT doc_id, md5(array_to_string(list_concat(f, list_transform(range({length} - len(f)), lambda x: 0)), ',')) AS digest,
+    len(f)::INT AS n_tokens FROM framed"""
+
+
 ORACLES = {
     "join_length_exclusive": f"{JOINED} WHERE length(d.text) > 50 AND length(d.text) < 2000 AND l.quality IS NOT NULL",
     "join_length_inclusive": f"{JOINED} WHERE length(d.text) > 50 AND length(d.text) <= 2000 AND l.quality IS NOT NULL",
@@ -294,12 +308,13 @@ profiles AS (SELECT doc_id, string_agg(gram, chr(1) ORDER BY gram) AS profile FR
     count(DISTINCT cluster_id) AS n_clusters, count(*) AS n_in_clusters, count(*) FILTER (is_extreme) AS n_representatives FROM clusters""",
     "normalized_sequence": """SELECT doc_id, md5(regexp_replace(array_to_string(string_split(substr(text, 2), ''), ' '), '[UZOB]', 'X', 'g')) AS digest
   FROM documents""",
-    "encoded_tokens": """WITH words AS (SELECT doc_id, string_split(text, '') AS c FROM documents),
-  vocabulary AS (SELECT word, row_number() OVER (ORDER BY word) + 4 AS id FROM (SELECT DISTINCT unnest(c) AS word FROM words)),
-  spots AS (SELECT doc_id, unnest(c[1:510]) AS word, unnest(range(1, least(len(c), 510) + 1)) AS i FROM words),
-  ids AS (SELECT doc_id, list(id ORDER BY i) AS ids FROM spots JOIN vocabulary USING (word) GROUP BY doc_id),
-  framed AS (SELECT doc_id, list_concat(list_concat([2], ids), [3]) AS f FROM ids)
-  SELECT doc_id, md5(array_to_string(list_concat(f, list_transform(range(512 - len(f)), lambda x: 0)), ',')) AS digest, len(f)::INT AS n_tokens FROM framed""",
+    "encoded_tokens": _encoded("string_split(text, '')", "SELECT word, 1 AS n FROM words", 512),
+    "encoded_words": _encoded("string_split(lower(text), ' ')", "SELECT word, count(DISTINCT doc_id) AS n FROM words GROUP BY word HAVING n > 1", 512),
+    "encoded_sequences": _encoded(
+        "string_split(regexp_replace(array_to_string(string_split(substr(translate(text, 'uzob', 'UZOB'), 2), ''), ' '), '[UZOB]', 'X', 'g'), ' ')",
+        "SELECT word, 1 AS n FROM words WHERE source = (SELECT min(source) FROM documents)",
+        256,
+    ),
     "argmax_labels": "SELECT vec_id, label, (list_position(embedding, list_max(embedding)) - 1)::INT AS prediction FROM embeddings",
     "weighted_log_loss": """WITH x AS (SELECT label % 2 AS y, list_transform(embedding, lambda v: v::DOUBLE) AS v FROM embeddings),
   ce AS (SELECT y, ln(list_sum(list_transform(v, lambda t: exp(t - list_max(v))))) + list_max(v) - v[y + 1] AS l FROM x),

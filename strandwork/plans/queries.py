@@ -10,6 +10,7 @@ from strandwork.functions.labels import argmax
 from strandwork.operators import (
     balance,
     bins,
+    encoding,
     errors,
     filters,
     history,
@@ -252,15 +253,33 @@ def normalized_sequence(spark, sf):
     return rows.select("doc_id", F.md5(sequences.normalized(F.col("text"))).alias("digest"))
 
 
-def encoded_tokens(spark, sf):
-    rows = _texts(spark, sf).select("doc_id", "text")
-    words = F.split("text", "")
-    coded = scoring.encode(rows, words, scoring.fit_vocabulary(rows, words), id="doc_id", length=512)
+def _digested(coded: DataFrame) -> DataFrame:
     text = F.array_join(F.transform("input_ids", lambda x: x.cast("string")), ",")
     filled = F.aggregate("attention_mask", F.lit(0), lambda acc, x: acc + x)
     return coded.select("doc_id", F.md5(text).alias("digest"), filled.alias("n_tokens"))
 
 
+def encoded_tokens(spark, sf):
+    rows = _texts(spark, sf).select("doc_id", "text")
+    words = F.split("text", "")
+    return _digested(encoding.encode(rows, words, encoding.fit_vocabulary(rows, words), length=512))
+
+
+def encoded_words(spark, sf):
+    """Whole words; those of a single document are unknown."""
+    rows = table(spark, sf, "documents").select("doc_id", "text")
+    words = F.split(F.lower("text"), " ")
+    return _digested(encoding.encode(rows, words, encoding.fit_vocabulary(rows, words, min_rows=2), length=512))
+
+
+def encoded_sequences(spark, sf):
+    """Normalised sequences, with the letters of the sequences of one source as vocabulary."""
+    rows = table(spark, sf, "documents").select("doc_id", "source", F.translate("text", "uzob", "UZOB").alias("text"))
+    words = F.split(sequences.normalized(F.col("text")), " ")
+    own = rows.filter(F.col("source") == rows.agg(F.min("source")).first()[0])
+    return _digested(encoding.encode(rows, words, encoding.fit_vocabulary(own, words), length=256))
+
+
 # -- classification
 
 
@@ -498,6 +517,8 @@ QUERIES = {
         dedup_summary,
         normalized_sequence,
         encoded_tokens,
+        encoded_words,
+        encoded_sequences,
         argmax_labels,
         weighted_log_loss,
         confusion,

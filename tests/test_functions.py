@@ -116,15 +116,6 @@ def test_signature_estimates_jaccard(spark):
     assert abs(same / 1000 - exact) < 0.06
 
 
-def test_encode_joins_a_vocabulary_of_any_size(spark):
-    from strandwork.operators import scoring
-
-    book = spark.range(150_000).selectExpr("concat('w', id) word", "cast(id + 5 as int) id")
-    df = spark.createDataFrame([(1, ["w0", "w149999", "no", "w0"]), (2, []), (3, None)], "k long, words array<string>")
-    found = {r.k: r.input_ids for r in scoring.encode(df, df["words"], book, id="k", length=5).collect()}
-    assert found == {1: [2, 5, 150004, 1, 3], 2: [2, 3, 0, 0, 0], 3: None}
-
-
 def test_nan_never_wins_a_step(spark):
     from strandwork.operators.history import once_per_step
 
