@@ -12,13 +12,17 @@ ids per document, checkpoints, code bits). Parts and blocks ascend with the docu
 
 from __future__ import annotations
 
+import json
 import os
+import string
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -33,7 +37,7 @@ MOST_BITS = 16
 
 _RUN_BYTES = 512 << 10
 #: Bytes that a worker keeps of pieces it has encoded, and of pieces that it encodes at a time.
-_KEPT_BYTES = 32 << 20
+_KEPT_BYTES = 48 << 20
 _LINE_BYTES = 64 << 10
 #: Ids of one part of the files.
 _PART_IDS = 32 << 20
@@ -62,6 +66,7 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.newline = newline[0] if len(newline) == 1 else None
+        self.words = _WordIds(self.tokenizer)
         self.forget()
 
     @classmethod
@@ -148,7 +153,7 @@ class PieceEncoder:
         stops = np.cumsum(end - begin)
         for part in np.split(np.arange(len(keys)), np.flatnonzero(np.diff(stops // _LINE_BYTES)) + 1):
             whole = [run.data[a:b].tobytes() for a, b in zip(begin[part].tolist(), end[part].tolist(), strict=True)]
-            ids, lengths = self._encoded([w.decode() for w in whole])
+            ids, lengths = self._ids([w.decode() for w in whole])
             self.begin.add(self.begin.array[-1] + np.cumsum(lengths))
             self.ids.add(ids)
             self.bytes.add(np.frombuffer(b"".join(whole), np.uint8))
@@ -157,6 +162,17 @@ class PieceEncoder:
         self.keys = np.insert(self.keys, places, keys)
         self.slot = np.insert(self.slot, places, slots)
 
+    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces: word by word where the words are plain, else by the whole tokenizer."""
+        found = [self.words.of(p) for p in pieces]
+        rest = [i for i, f in enumerate(found) if f is None]
+        if rest:
+            ids, lengths = self._encoded([pieces[i] for i in rest])
+            for i, part in zip(rest, np.split(ids, np.cumsum(lengths)[:-1]), strict=True):
+                found[i] = part.tolist()
+        flat = np.fromiter(chain.from_iterable(found), np.uint32)
+        return flat, np.fromiter(map(len, found), np.int64, len(found))
+
     def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of one line are encoded together, with a newline after each, and cut at its id again."""
         plain = np.array([self.newline is not None and "\n" not in p and bool(p.strip(" ")) for p in pieces], bool)
@@ -180,6 +196,53 @@ class PieceEncoder:
         return out, lengths
 
 
+#: Fixed value: how byte-level BPE cuts a text into words.
+_WORD = (
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+)
+#: Letters up to here are letters in any version of Unicode.
+_PLAIN = "\u0250"
+_MOST_WORDS = 100_000
+
+
+class _WordIds:
+    """Ids of the words of plain pieces, straight from the library's merges, which is all that is left to do.
+
+    Only for a byte-level BPE without normaliser; pieces with later letters, or with a token that the
+    tokenizer takes out beforehand, are left to it.
+    """
+
+    def __init__(self, tokenizer):
+        state = json.loads(tokenizer.to_str())
+        cut = state["pre_tokenizer"] or {}
+        plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut["add_prefix_space"]
+        self.usable = plain and state["normalizer"] is None and state["model"]["type"] == "BPE"
+        self.added = [t["content"] for t in state["added_tokens"]]
+        self.model = tokenizer.model
+        self.find = regex.compile(_WORD).findall
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        hidden = [b for b in range(256) if b not in shown]
+        self.letters = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+        self.known: dict[str, list[int]] = {}
+
+    def of(self, piece: str) -> list[int] | None:
+        if not self.usable or not (piece.isascii() or max(piece) < _PLAIN) or any(a in piece for a in self.added):
+            return None
+        words = self.find(piece)
+        if len(words) == 1:
+            return self._word(words[0])
+        return [i for w in words for i in self._word(w)]
+
+    def _word(self, word: str) -> list[int]:
+        ids = self.known.get(word)
+        if ids is None:
+            ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+            if len(self.known) >= _MOST_WORDS:
+                self.known.clear()
+            self.known[word] = ids
+        return ids
+
+
 class _Grown:
     """An array that grows at its end, by a quarter at a time."""
 
@@ -215,10 +278,16 @@ def _odd(run: Texts) -> np.ndarray:
     return sums[run.starts[1:]] > sums[run.starts[:-1]]
 
 
+_STOP, _ALNUM = np.zeros(256, bool), np.zeros(256, bool)
+_STOP[[ord(c) for c in ".,;:!?"]] = True
+_ALNUM[[ord(c) for c in string.ascii_letters + string.digits]] = True
+
+
 def _pieces(run: Texts, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where pieces begin, and their rows, in the ``wanted`` texts.
 
-    A piece is a space and a word, a word, a newline, or white space before those.
+    A piece is a space and a word, a word, a newline, or white space before those. A word ends ahead of a
+    stop that follows an ASCII letter or digit.
     """
     data, n = run.data, len(run.data)
     blank = (data == 0x20) | (data == 0x0A)
@@ -237,6 +306,8 @@ def _pieces(run: Texts, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     opens[starts[inside][spaced]] = False
     ends = np.flatnonzero(word[:-1] & blank[1:]) + 1 if n else np.empty(0, np.int64)
     opens[ends] = True
+    stops = np.flatnonzero(_STOP[data[1:]] & _ALNUM[data[:-1]]) + 1 if n else np.empty(0, np.int64)
+    opens[stops] = True
     opens[run.starts] = True
     # Where a text begins with a space before a word, that space is the begin of the piece already.
     begin = np.flatnonzero(opens[:n])

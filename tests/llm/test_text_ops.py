@@ -495,3 +495,49 @@ def test_pipeline(spark, small):
         sizes.append(docs.count())
     assert sizes[0] >= sizes[1] >= sizes[2] > 0
     assert corpus_pipeline.run(spark, SMALL).count() == sizes[-1]
+
+
+def test_pieces_give_the_ids_of_whole_texts():
+    """Every way to cut a text gives what the library makes of it whole."""
+    from strandwork.llm.words import texts as runs
+
+    samples = [
+        "It's they'll we've I'm he'd you're can't 'quoted' 'S 's  ' don't, stop.",
+        "a,b;c:d!e?f 3.5 1,000.25 x=1.e5 end.. ... .start ,, (paren), [x]. \"q.\"",
+        "é.à ,ü ñ! ¿qué? —dash—. …dots… “quotes”, naïve façade. Ångström ÆØ ß.",
+        "日本語。テスト、 混ぜ text. Ω≈ç √∫ Ж. пример, текст: да!",
+        "\n\n  two  spaces \n and   three\t tab\r\n.  nbsp. x y",
+        "<s> </s> <|endoftext|> <unk>. tokens <pad>",
+        "".join(chr(c) for c in range(32, 700)) + " " + " ".join(chr(c) + "." for c in range(33, 1500)),
+        "", " ", ".", "?a", "a?", "́combining é. ä,", "🙂. 👍🏽, ok🙂.x",
+    ]
+    tokenizer = Tokenizer.from_file(BPE)
+    encoder = tokens.PieceEncoder(BPE)
+    for usable in (True, False):
+        encoder.words.usable = usable and encoder.words.usable
+        encoder.forget()
+        for run in runs(__import__("pyarrow").array(samples)):
+            ids, sizes = encoder.encode(run)
+            for text, part in zip(samples, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+                assert part.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_encoder_memory(tmp_path):
+    """A worker of its own stays below 250 MB over megabytes of new words."""
+    import subprocess
+    import sys
+
+    code = f"""
+import resource, pyarrow as pa, numpy as np
+from strandwork.llm.tokens import PieceEncoder, _RUN_BYTES
+from strandwork.llm.words import texts
+random = np.random.default_rng(1)
+encoder = PieceEncoder.of({BPE!r})
+for _ in range(4):
+    words = ["".join(w) for w in random.choice(list("abcdefghijklmnopqrstuvwxyz"), (150_000, 7))]
+    for run in texts(pa.array([" ".join(words[i : i + 500]) for i in range(0, len(words), 500)]), _RUN_BYTES):
+        encoder.encode(run)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=tmp_path, env={**__import__("os").environ, "PYTHONPATH": ":".join(sys.path)})
+    assert int(done.stdout) < 250, done.stdout + done.stderr
