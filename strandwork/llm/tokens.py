@@ -213,11 +213,12 @@ class _WordIds:
     """
 
     def __init__(self, tokenizer):
-        state = json.loads(tokenizer.to_str())
-        cut = state["pre_tokenizer"] or {}
+        from tokenizers.models import BPE
+
+        cut = {} if tokenizer.pre_tokenizer is None else json.loads(tokenizer.pre_tokenizer.__getstate__())
         plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut["add_prefix_space"]
-        self.usable = plain and state["normalizer"] is None and state["model"]["type"] == "BPE"
-        self.added = [t["content"] for t in state["added_tokens"]]
+        self.usable = plain and tokenizer.normalizer is None and isinstance(tokenizer.model, BPE)
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.model = tokenizer.model
         self.find = regex.compile(_WORD).findall
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
