@@ -5,10 +5,10 @@ most ``max_bits`` bits, one of those segments differs in at most one bit, so bot
 of it with one bit masked. The variants are joined by equality and the pairs verified.
 
 Only connections count, not pairs. Two fingerprints of a variant are a pair. The members of a larger one
-are cut finer: those that belong together differ in at most ``max_bits`` of the other bits, so of
-``max_bits + 1`` pieces of those one is equal. What still meets in threes or more is searched breadth-first
-in a task, where each member found leaves the search, so that a crowd of near copies takes a few steps;
-every member then has one link, to the smallest fingerprint it is connected with.
+are searched breadth-first in a task: whatever is found leaves the search at once, so a crowd of near copies
+takes a few steps, and every member has one link, to the smallest fingerprint it is connected with.
+Fingerprints that share a variant by chance alone are as many as there are fingerprints for each of about a
+million values.
 """
 
 from __future__ import annotations
@@ -87,30 +87,17 @@ def variants(bits: Column, max_bits: int) -> Column:
     return F.array(*out)
 
 
-def pieces(bits: Column, slot: Column, max_bits: int) -> Column:
-    """Array of the bits outside the slot's segment, cut into ``max_bits + 1`` pieces that stay in place."""
-    cut = None
-    for low, width in segments(max_bits):
-        rest = [b for b in range(64) if not low <= b < low + width]
-        edges = [len(rest) * i // (max_bits + 1) for i in range(max_bits + 2)]
-        masks = [_signed(sum(1 << b for b in rest[x:y])) for x, y in pairwise(edges)]
-        out = F.array(*[bits.bitwiseAND(F.lit(mask).cast("bigint")) for mask in masks])
-        here = (slot >= low) & (slot < low + width)
-        cut = F.when(here, out) if cut is None else cut.when(here, out)
-    return cut
-
-
-def _met(spread: DataFrame, keys: list[str], max_bits: int) -> tuple[DataFrame, DataFrame]:
-    """The pairs ``(a, b)`` that are alone in their group, and the rows of the larger groups.
+def _met(spread: DataFrame, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs ``(a, b)`` that are alone with a variant, and the rows of the larger groups.
 
     All of these grow with the documents, so none is to be broadcast, whatever its estimated size.
     """
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
-    sizes = spread.groupBy(*keys).agg(F.count("*").alias("n"), F.min("bits").alias("a"), F.max("bits").alias("b"))
+    sizes = spread.groupBy("slot", "value").agg(F.count("*").alias("n"), F.min("bits").alias("a"), F.max("bits").alias("b"))
     sizes = written(sizes.filter("n > 1"), "simhash-groups")
     twos = sizes.filter((F.col("n") == 2) & near).select("a", "b")
-    large = sizes.filter("n > 2").select(*keys)
-    return twos, spread.join(large.hint("merge"), keys, "left_semi")
+    large = sizes.filter("n > 2").select("slot", "value")
+    return twos, spread.join(large.hint("merge"), ["slot", "value"], "left_semi")
 
 
 def heads(bits: np.ndarray, max_bits: int) -> np.ndarray:
@@ -120,43 +107,72 @@ def heads(bits: np.ndarray, max_bits: int) -> np.ndarray:
     while len(left):
         head, left = left[0], left[1:]
         out[head] = head
-        front = np.array([head])
-        while len(front) and len(left):
-            width = max(1, (1 << 20) // len(left))
-            new = np.zeros(len(left), bool)
-            for i in range(0, len(front), width):
-                far = np.bitwise_count(bits[front[i : i + width], None] ^ bits[None, left])
-                new |= (far <= max_bits).any(axis=0)
-            front, left = left[new], left[~new]
-            out[front] = head
+        front = [np.array([head])]
+        while front and len(left):
+            some = front.pop()
+            width = max(1, (1 << 18) // len(left))
+            if len(some) > width:
+                front.append(some[width:])
+                some = some[:width]
+            near = (np.bitwise_count(bits[some, None] ^ bits[None, left]) <= max_bits).any(axis=0)
+            if near.any():
+                out[left[near]] = head
+                front.append(left[near])
+                left = left[~near]
     return out
 
 
-def _searched(rows: DataFrame, keys: list[str], max_bits: int) -> DataFrame:
-    """``(a, b)``: for the rows ``(bits, *keys)`` of each group, links from the smallest of what is connected."""
+def _few_heads(bits: list[int], max_bits: int) -> list[int]:
+    """``heads`` of a handful of fingerprints."""
+    out = [-1] * len(bits)
+    for head in range(len(bits)):
+        if out[head] < 0:
+            out[head], front = head, [head]
+            while front:
+                i = front.pop()
+                new = [j for j, h in enumerate(out) if h < 0 and (bits[i] ^ bits[j]).bit_count() <= max_bits]
+                for j in new:
+                    out[j] = head
+                front += new
+    return out
+
+
+def _searched(rows: DataFrame, max_bits: int) -> DataFrame:
+    """``(a, b)``: for the rows ``(bits, slot, value)`` of each group, links from the smallest of what is connected."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [np.empty(0, np.int64)], None
         for batch in batches:
-            bits = batch.column(0).to_numpy()
-            marks = np.stack([batch.column(k).to_numpy() for k in keys], axis=1)
-            cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist(), len(bits)]
-            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            bits, slots, values = (batch.column(c).to_numpy() for c in ("bits", "slot", "value"))
+            cuts = np.flatnonzero((slots[1:] != slots[:-1]) | (values[1:] != values[:-1])) + 1
+            found: tuple[list, list] = ([], [])
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bits)], strict=True):
                 if i < j:
-                    if tuple(marks[i].tolist()) != at:
-                        yield from linked(np.concatenate(held))
-                        held, at = [], tuple(marks[i].tolist())
+                    if (slots[i], values[i]) != at:
+                        linked(np.concatenate(held), *found)
+                        held, at = [], (slots[i], values[i])
                     held.append(bits[i:j])
-        yield from linked(np.concatenate(held))
+            yield shaped(*found)
+        found = ([], [])
+        linked(np.concatenate(held), *found)
+        yield shaped(*found)
 
-    def linked(bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def linked(bits: np.ndarray, a: list, b: list) -> None:
         bits = np.sort(bits)
-        head = heads(bits, max_bits)
-        b = np.flatnonzero(head != np.arange(len(bits)))
-        if len(b):
-            yield pa.RecordBatch.from_arrays([pa.array(bits[head[b]]), pa.array(bits[b])], names=["a", "b"])
-
-    own = rows.select("bits", *keys).repartition(*keys).sortWithinPartitions(*keys)
+        if len(bits) <= 24:
+            few = bits.view(np.uint64).tolist()
+            head = np.array(_few_heads(few, max_bits), np.int64)
+        else:
+            head = heads(bits, max_bits)
+        other = np.flatnonzero(head != np.arange(len(bits)))
+        a.append(bits[head[other]])
+        b.append(bits[other])
+
+    def shaped(a: list, b: list) -> pa.RecordBatch:
+        ends = [np.concatenate([np.empty(0, np.int64), *x]) for x in (a, b)]
+        return pa.RecordBatch.from_arrays([pa.array(e) for e in ends], names=["a", "b"])
+
+    own = rows.select("bits", "slot", "value").repartition("slot", "value").sortWithinPartitions("slot", "value")
     return own.mapInArrow(kernel, "a bigint, b bigint")
 
 
@@ -166,12 +182,8 @@ def links(prints: DataFrame, max_bits: int = 4) -> DataFrame:
     A link joins two members of one component, and all components are connected; not every pair is a link.
     """
     spread = prints.select("bits", F.inline(variants(F.col("bits"), max_bits)))
-    pairs, crowded = _met(spread, ["slot", "value"], max_bits)
-    crowded = written(crowded.select("bits", "slot", "value"), "simhash-crowded")
-    cut = F.posexplode(pieces(F.col("bits"), F.col("slot"), max_bits)).alias("part", "piece")
-    keys = ["slot", "value", "part", "piece"]
-    finer, copies = _met(crowded.select("*", cut), keys, max_bits)
-    return pairs.unionByName(finer).unionByName(_searched(copies, keys, max_bits)).distinct()
+    pairs, crowded = _met(spread, max_bits)
+    return pairs.unionByName(_searched(crowded, max_bits)).distinct()
 
 
 def near_duplicates(
