@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandwork.operators.selection import first_n, redraw
-from strandwork.sources.session import pin_small
+from strandwork.sources.session import held
 
 
 def class_ratio(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
@@ -99,7 +99,7 @@ def balance_classes(
     strata = [*by, label]
     targets = class_targets(df, label, desired=desired, max_upsampling=max_upsampling, by=by)
     values = targets.select(*by, F.col("label").cast(df.schema[label].dataType).alias(label), "n_before", "n_after")
-    targets = pin_small(values)
+    targets, _ = held(values)
     grows = F.col("n_after") > F.col("n_before")
     stay = F.col("n_before") if keep_originals else F.lit(0)
     kept = first_n(

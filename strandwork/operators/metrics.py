@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwork.functions.attach import attach, join_by
+from strandwork.functions.binning import usable
 from strandwork.functions.labels import cross_entropy
-from strandwork.operators.selection import running_total
+from strandwork.sources.session import held, written
+
 
 def confusion(df: DataFrame, truth: str, prediction: str, by: Sequence[str] = ()) -> DataFrame:
     """``(*by, tn, fp, fn, tp)``: rows are the truth, read left to right."""
@@ -100,41 +102,78 @@ def regression_metrics(
     metrics: dict | None = None,
     digits: int | None = None,
 ) -> DataFrame:
-    """All measures in one pass; ``digits`` rounds them for reports."""
+    """All measures in one pass over the rows with a number on both sides; ``digits`` rounds them for reports."""
+    df = df.filter(usable(F.col(truth)) & usable(F.col(prediction)))
     measures = {name: m(F.col(truth), F.col(prediction)) for name, m in (metrics or REGRESSION).items()}
     if digits is not None:
         measures = {name: F.round(m, digits) for name, m in measures.items()}
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[m.alias(name) for name, m in measures.items()])
 
 
-def spearman(df: DataFrame, truth: str, prediction: str, by: Sequence[str] = ()) -> DataFrame:
-    """``(*by, n, spearman)`` with average ranks for ties.
+def average_ranks(df: DataFrame, column: str, *, by: Sequence[str] = (), into: str = "rank") -> DataFrame:
+    """``df`` with the rank of ``column`` among the rows of ``by``, from 1; equal values share the middle one.
 
-    Rows shrink to distinct pairs with counts, so a value shared by a third of
-    the table is one row. Ranks come from running counts over distinct values
-    (range-partitioned, see ``running_total``). Ranks are centred on their known
-    mean before they are multiplied. NULL where one side is constant.
+    Rows are dealt by ranges of the value and, among equal ones, at random, so that a value held by a third
+    of the rows lies in several parts. Each part ranks its own rows. Only what a part has at its two ends can
+    go on in another part: from the counts of these, a few numbers per part, every part learns how many rows
+    come ahead of it and how often its first and last value occur in all.
     """
-    pairs = df.filter(F.col(truth).isNotNull() & F.col(prediction).isNotNull())
-    pairs = pairs.groupBy(*by, F.col(truth).alias("t"), F.col(prediction).alias("p")).agg(
-        F.count(F.lit(1)).alias("n")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mark = F.xxhash64(*df.columns, F.monotonically_increasing_id())
+    ranged = df.withColumn("_mark", mark).repartitionByRange(parts, *by, column, "_mark").drop("_mark")
+    ranged = written(ranged.withColumn("_part", F.spark_partition_id()), "ranks")
+    groups = [*by, "_part"]
+    ends = ranged.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("_rows"), F.min(column).alias("_low"), F.max(column).alias("_high")
+    )
+    ends = held(ends)[0]
+    marked = attach(ranged.select(*groups, column), ends.select(*groups, "_low", "_high"), groups)
+    counts = marked.groupBy(*groups).agg(
+        F.count_if(F.col(column) == F.col("_low")).alias("_lows"), F.count_if(F.col(column) == F.col("_high")).alias("_highs")
     )
+    ahead = F.sum("_rows").over(_ordered(by, "_part")) - F.col("_rows")
+    ends = join_by(ends, counts, groups).withColumn("_ahead", ahead)
+    # One row for each end; a part with a single value has one.
+    low = F.struct(F.col("_low").alias("_value"), F.col("_ahead").alias("_smaller"), F.col("_lows").alias("_times"))
+    smaller = F.col("_ahead") + F.col("_rows") - F.col("_highs")
+    high = F.struct(F.col("_high").alias("_value"), smaller.alias("_smaller"), F.col("_highs").alias("_times"))
+    both = F.when(F.col("_low") == F.col("_high"), F.array(low)).otherwise(F.array(low, high))
+    shared = ends.select(*groups, F.inline(both))
+    whole = shared.groupBy(*by, "_value").agg(F.min("_smaller").alias("_smaller"), F.sum("_times").alias("_times"))
+    middle = (F.col("_smaller") + (F.col("_times") + 1) / 2.0).alias("_middle")
+    whole = held(whole.select(*by, "_value", middle))[0]
+    for name in ("_low", "_high"):
+        found = whole.withColumnsRenamed({"_value": name, "_middle": f"{name}_rank"})
+        ends = join_by(ends, found, [*by, name])
+    joined = attach(ranged, ends.select(*groups, "_low", "_high", "_ahead", "_low_rank", "_high_rank"), groups)
+    local = Window.partitionBy(*groups).orderBy(column)
+    rank = F.rank().over(local)
+    times = F.count(F.lit(1)).over(Window.partitionBy(*groups, column))
+    own = F.col("_ahead") + rank + (times - 1) / 2.0
+    value = F.col(column)
+    rank = F.when(value == F.col("_low"), F.col("_low_rank")).when(value == F.col("_high"), F.col("_high_rank")).otherwise(own)
+    return joined.withColumn(into, rank).select(*df.columns, into)
+
+
+def _ordered(by: Sequence[str], order: str) -> Window:
+    return (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(order)
 
-    def ranks(side: str) -> DataFrame:
-        values = pairs.groupBy(*by, side).agg(F.sum("n").alias("c"))
-        placed = running_total(values, [side], F.col("c"), by=by, into="smaller")
-        return placed.select(*by, side, (F.col("smaller") + (F.col("c") + 1) / 2.0).alias("rank_" + side))
 
-    total = pairs.groupBy(*by).agg(F.sum("n").alias("total"))
-    ranked = join_by(join_by(pairs, ranks("t"), [*by, "t"]), ranks("p"), [*by, "p"])
-    ranked = attach(ranked, total, by)
+def spearman(df: DataFrame, truth: str, prediction: str, by: Sequence[str] = ()) -> DataFrame:
+    """``(*by, n, spearman)`` with average ranks for ties.
+
+    Each side is ranked by one range sort (see ``average_ranks``); there is no join on values. Ranks are
+    centred on their known mean before they are multiplied. Rows with a NULL or NaN on either side are left
+    out. NULL where one side is constant.
+    """
+    t, p = F.col(truth).cast("double"), F.col(prediction).cast("double")
+    rows = df.select(*by, t.alias("t"), p.alias("p")).filter(usable(F.col("t")) & usable(F.col("p")))
+    ranked = average_ranks(average_ranks(rows, "t", by=by, into="rank_t"), "p", by=by, into="rank_p")
+    ranked = attach(ranked, rows.groupBy(*by).agg(F.count(F.lit(1)).alias("total")), by)
     middle = (F.col("total") + 1) / 2.0
-    x, y, n = F.col("rank_t") - middle, F.col("rank_p") - middle, F.col("n")
+    x, y = F.col("rank_t") - middle, F.col("rank_p") - middle
     sums = ranked.groupBy(*by).agg(
-        F.sum("n").alias("n"),
-        F.sum(n * x * y).alias("xy"),
-        F.sum(n * x * x).alias("xx"),
-        F.sum(n * y * y).alias("yy"),
+        F.count(F.lit(1)).alias("n"), F.sum(x * y).alias("xy"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy")
     )
     rho = F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy"))
     return sums.select(*by, "n", rho.alias("spearman"))

@@ -14,9 +14,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwork.functions.attach import join_by
+from strandwork.functions.attach import join_by, join_small
 from strandwork.functions.keys import draw, order_hash
-from strandwork.sources.session import cut_lineage, pin_small
+from strandwork.sources.session import cut_lineage, held
 
 BUCKET_DIGITS = 4  # 65,536 hash buckets per stratum
 CHUNK = 65_536
@@ -62,10 +62,10 @@ def hash_cutoffs(
         wanted = take(F.col("_total"))
     need = F.least(wanted.cast("bigint"), F.col("_total")) - F.col("_before")
     edge = counts.withColumn("_need", need).filter("_need > 0 and _need <= _n").select(*by, "_bucket", "_need")
-    inside = join_by(keyed, pin_small(edge), [*by, "_bucket"])
+    inside = join_small(keyed, edge, [*by, "_bucket"])
     rank = F.row_number().over(_stratum([*by, "_bucket"]).orderBy("_hash"))
     ranked = inside.withColumn("_rank", rank).filter("_rank = _need")
-    return pin_small(ranked.select(*by, F.col("_hash").alias("_cut")))
+    return held(ranked.select(*by, F.col("_hash").alias("_cut")))[0]
 
 
 def mark_first(
@@ -88,7 +88,7 @@ def mark_below(
 ) -> DataFrame:
     """Compare every row with the cut-off of its stratum."""
     if by:
-        joined = join_by(df, cuts, by, "left")
+        joined = join_small(df, cuts, by, "left")
         chosen = F.coalesce(order_hash(key, seed) <= F.col("_cut"), F.lit(False))
         return joined.withColumn(into, chosen).drop("_cut")
     row = cuts.first()
@@ -154,11 +154,11 @@ def running_total(
     groups = [*by, "_range"]
     sums = ranged.groupBy(*groups).agg(F.sum("_amount").alias("_sum"))
     offset = F.sum("_sum").over(_stratum(by).orderBy("_range")) - F.col("_sum")
-    offsets = pin_small(sums.select(*groups, offset.alias("_offset")))
+    offsets = sums.select(*groups, offset.alias("_offset"))
     inner = F.sum("_amount").over(
         Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     )
-    joined = join_by(ranged, offsets, groups)
+    joined = join_small(ranged, offsets, groups)
     return joined.withColumn(into, F.col("_offset") + inner - F.col("_amount")).drop("_amount", "_range", "_offset")
 
 

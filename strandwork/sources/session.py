@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A table is treated as small only after its rows were counted against this bound.
+# What is fetched, or broadcast in one piece, is measured against these bounds.
 SMALL_ROWS = 100_000
+SMALL_BYTES = 32 << 20
 
 RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -68,14 +69,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def pin_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """Materialise a table that is expected to be small.
+def held(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` computed once, and about how many bytes it has.
 
-    Up to ``limit`` rows it becomes a local relation marked for broadcast, its
-    size having just been checked. Beyond that it is checkpointed and joined
-    like any other table.
+    Up to ``SMALL_ROWS`` and ``SMALL_BYTES`` it becomes a local relation, beyond that a table in the shared
+    folder. It is not marked for broadcast: see ``attach.join_small``, which broadcasts any such table in
+    pieces of bounded size.
     """
-    head = df.limit(limit + 1).toArrow()
-    if head.num_rows <= limit:
-        return F.broadcast(df.sparkSession.createDataFrame(head, df.schema))
-    return cut_lineage(df)
+    head = df.limit(SMALL_ROWS + 1).toArrow()
+    if head.num_rows <= SMALL_ROWS and head.nbytes <= SMALL_BYTES:
+        return df.sparkSession.createDataFrame(head, df.schema), head.nbytes
+    table = written(df, "held")
+    return table, table.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0]
