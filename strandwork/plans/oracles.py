@@ -115,8 +115,8 @@ edges AS MATERIALIZED (
   GROUP BY a, b HAVING count(*) >= {needed_agreement(0.6, 100)})"""
 
 
-def _edges_exact() -> str:
-    return f"""{_sequences()},
+def _edges_exact(source: str | None = None) -> str:
+    return f"""{_sequences(source) if source else _sequences()},
 sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
 shared AS MATERIALIZED (
   SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS s FROM grams x JOIN grams y USING (gram)
@@ -301,6 +301,9 @@ profiles AS (SELECT doc_id, string_agg(m, ',' ORDER BY p) AS profile FROM minima
 profiles AS (SELECT doc_id, string_agg(gram, chr(1) ORDER BY gram) AS profile FROM grams GROUP BY doc_id), {HEADS}""",
     "dedup_clusters": f"WITH RECURSIVE {_edges_lsh()}, {SCAN}, {REACH} SELECT * FROM clusters",
     "dedup_representatives": f"WITH RECURSIVE {_edges_lsh()}, {SCAN} SELECT owner AS id, count(*) AS copies FROM members GROUP BY owner",
+    "dedup_seeded": f"""WITH RECURSIVE placed AS (SELECT doc_id AS own, row_number() OVER (ORDER BY {_hash('doc_id')}) AS doc_id, source, text FROM documents),
+  {_edges_exact("SELECT doc_id, source, replace(text, ' ', '') AS seq FROM placed")}, {SCAN}
+  SELECT own AS id, count(*) AS copies FROM members JOIN placed ON owner = doc_id GROUP BY own""",
     "dedup_rows": f"""WITH RECURSIVE {_edges_lsh()}, {SCAN}
   SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT id FROM owners)""",
     "dedup_summary": f"""WITH RECURSIVE {_edges_lsh()}, {SCAN}, {REACH}

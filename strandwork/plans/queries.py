@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -238,6 +240,11 @@ def dedup_representatives(spark, sf):
     return neardup.representatives(_found(spark, sf))
 
 
+def dedup_seeded(spark, sf):
+    """Representatives of a scan in random order, by exact similarity."""
+    return neardup.representatives(_found(spark, sf, replace(EXACT, order_seed=SEED)))
+
+
 def dedup_rows(spark, sf):
     rows, _ = neardup.deduplicate(_documents(spark, sf), id="doc_id", sequence="seq", how=LSH)
     return rows.select("doc_id", "source")
@@ -513,6 +520,7 @@ QUERIES = {
         exact_pairs,
         dedup_clusters,
         dedup_representatives,
+        dedup_seeded,
         dedup_rows,
         dedup_summary,
         normalized_sequence,
