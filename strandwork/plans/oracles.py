@@ -233,6 +233,25 @@ def _source_split(rows: str) -> str:
 
 
 
+def _newton(steps: int) -> str:
+    """Unrolled steps for an intercept and two features with a ridge of 1: the inverse of a 3x3 matrix, written out."""
+    out = ["step0 AS (SELECT 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2)"]
+    for k in range(steps):
+        out.append(f"""sums{k} AS (SELECT any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2, sum(v) AS a, sum(v * x1) AS b, sum(v * x2) AS c,
+    sum(v * x1 * x1) + 1 AS d, sum(v * x1 * x2) AS e, sum(v * x2 * x2) + 1 AS f, sum(g) AS g0, sum(g * x1) - any_value(b1) AS g1, sum(g * x2) - any_value(b2) AS g2
+  FROM (SELECT b0, b1, b2, x1, x2, w * p * (1 - p) AS v, w * (y - p) AS g
+    FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) AS p FROM weighed, step{k} WHERE split = 'train'))),
+step{k + 1} AS (SELECT b0 + ((d * f - e * e) * g0 + (c * e - b * f) * g1 + (b * e - c * d) * g2) / det AS b0,
+    b1 + ((c * e - b * f) * g0 + (a * f - c * c) * g1 + (b * c - a * e) * g2) / det AS b1,
+    b2 + ((b * e - c * d) * g0 + (b * c - a * e) * g1 + (a * d - b * b) * g2) / det AS b2
+  FROM (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM sums{k}))""")
+    return ",\n".join(out)
+
+
+def _named(columns: dict[str, str], table: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{name}' AS name, round({value}, 6) AS value FROM {table}" for name, value in columns.items())
+
+
 def _encoded(words: str, known: str, length: int) -> str:
     """Ids of the words of ``known`` in word order; others are 1."""
     room = length - 2
@@ -368,6 +387,25 @@ profiles AS (SELECT doc_id, string_agg(gram, chr(1) ORDER BY gram) AS profile FR
     CASE WHEN event_type <> 'error' THEN value END AS loss, CASE WHEN event_type = 'error' THEN (props->>'$.k')::INT END AS k FROM events""",
     "batch_score": f"""SELECT vec_id AS id, label::DOUBLE AS truth,
     round(list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * ({WEIGHTS}::DOUBLE[])[i])) + 0.5, 4) AS prediction FROM embeddings""",
+    "train_classifier": f"""WITH rows AS (SELECT doc_id, quality AS y, ln(1 + length(text)) AS x1,
+    length(text) / (length(text) - length(replace(text, ' ', '')) + 1) AS x2 FROM documents JOIN labels USING (doc_id)),
+  parted AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY {_hash('doc_id')}) <= ceil(0.3 * count(*) OVER ()) THEN 'test' ELSE 'train' END AS split FROM rows),
+  shares AS (SELECT avg(y) AS p FROM parted WHERE split = 'train'),
+  weighed AS (SELECT *, CASE WHEN y = 1 THEN 1.0::DOUBLE ELSE shares.p / (1 - shares.p) END AS w FROM (SELECT doc_id, y, x1, x2, split FROM parted), shares),
+  {_newton(14).replace('FROM weighed, step', 'FROM (SELECT y, x1, x2, split, w FROM weighed), step')},
+  judged AS (SELECT w, y, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) AS q FROM (SELECT y, x1, x2, split, w FROM weighed), step14 WHERE split = 'test'),
+  losses AS (SELECT -sum(w * (y * ln(q) + (1 - y) * ln(1 - q))) / sum(w) AS log_loss, ln(2) AS null_loss FROM judged)
+  {_named({'intercept': 'b0', 'size': 'b1', 'word_length': 'b2'}, 'step14')} UNION ALL {_named({'log_loss': 'log_loss', 'null_loss': 'null_loss'}, 'losses')}""",
+    "train_regressor": f"""WITH rows AS (SELECT l_quantity::DOUBLE AS x1, l_tax::DOUBLE AS x2, l_extendedprice::DOUBLE AS price,
+    CASE WHEN row_number() OVER (ORDER BY {_hash('l_orderkey', 'l_linenumber')}) <= ceil(0.15 * count(*) OVER ()) THEN 'test' ELSE 'train' END AS split FROM lineitem),
+  scale AS (SELECT avg(price) AS m, stddev_pop(price) AS s FROM rows WHERE split = 'train'),
+  scaled AS (SELECT x1, x2, (price - m) / s AS y, split FROM rows, scale),
+  sums AS (SELECT avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, var_pop(x1) AS s11, var_pop(x2) AS s22, covar_pop(x1, x2) AS s12,
+    covar_pop(x1, y) AS s1y, covar_pop(x2, y) AS s2y FROM scaled WHERE split = 'train'),
+  slopes AS (SELECT *, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1, (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2 FROM sums),
+  model AS (SELECT my - b1 * m1 - b2 * m2 AS b0, b1, b2 FROM slopes),
+  losses AS (SELECT avg(pow(b0 + b1 * x1 + b2 * x2 - y, 2)) AS mse, avg(y * y) AS null_mse FROM scaled, model WHERE split = 'test')
+  {_named({'intercept': 'b0', 'l_quantity': 'b1', 'l_tax': 'b2'}, 'model')} UNION ALL {_named({'mse': 'mse', 'null_mse': 'null_mse'}, 'losses')}""",
     "classifier_data": f"""WITH RECURSIVE chosen AS MATERIALIZED ({CLASSIFIER_SOURCE}), {_edges_lsh('SELECT doc_id, source, seq FROM chosen')}, {SCAN},
   left_over AS (SELECT doc_id, source, labels FROM chosen WHERE doc_id NOT IN (SELECT id FROM owners)), {_source_split('left_over')}
   SELECT doc_id, source, labels, split FROM left_over JOIN names USING (source)""",

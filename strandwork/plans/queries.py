@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwork.functions import sequences
+from strandwork.functions.attach import attach
 from strandwork.functions.labels import argmax
 from strandwork.operators import (
     balance,
@@ -16,6 +17,7 @@ from strandwork.operators import (
     errors,
     filters,
     history,
+    linear,
     metrics,
     neardup,
     scoring,
@@ -436,7 +438,44 @@ def batch_score(spark, sf):
     return rows.select("id", "truth", r("prediction", 4))
 
 
+def _report(model, spark, held_out: DataFrame) -> DataFrame:
+    """Coefficients and held-out losses as ``(name, value)``."""
+    losses = held_out.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in held_out.columns])))
+    return model.table(spark).unionByName(losses).select("name", r("value"))
+
+
 def train_classifier(spark, sf):
+    """Class-weighted logistic regression on two named features, judged on held-out rows."""
+    chars, words = F.length("text"), F.size(F.split("text", " "))
+    rows = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    rows = rows.select("doc_id", "quality", F.log1p(chars).alias("size"), (chars / words).alias("word_length"))
+    rows = split.random_split(rows, ["doc_id"], fraction=0.3, seed=SEED)
+    train, test = (rows.filter(F.col("split") == name) for name in ("train", "test"))
+    weights = balance.class_weights(train, "quality").withColumnRenamed("label", "quality")
+    model = linear.fit_logistic(attach(train, weights, ["quality"]), ["size", "word_length"], "quality", weight="weight")
+    weighed = attach(test, weights, ["quality"]).withColumn("chance", model.chance())
+
+    def loss(chance):
+        each = F.col("quality") * F.log(chance) + (1 - F.col("quality")) * F.log(1 - chance)
+        return -F.sum(F.col("weight") * each) / F.sum("weight")
+
+    return _report(model, spark, weighed.agg(loss(F.col("chance")).alias("log_loss"), loss(F.lit(0.5)).alias("null_loss")))
+
+
+def train_regressor(spark, sf):
+    """Least squares on two named features and a standardised label, judged on held-out rows."""
+    rows = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_tax", F.col("l_extendedprice").cast("double").alias("labels")
+    )
+    rows = split.random_split(rows, ["l_orderkey", "l_linenumber"], fraction=0.15, seed=SEED)
+    rows = target.standardize_target(rows, "labels", target.train_parameters(rows, "labels"))
+    model = linear.fit_least_squares(rows.filter(F.col("split") == "train"), ["l_quantity", "l_tax"], "labels")
+    test = rows.filter(F.col("split") == "test").withColumn("prediction", model.score())
+    losses = test.agg(metrics.mse(F.col("labels"), F.col("prediction")).alias("mse"), F.avg(F.col("labels") * F.col("labels")).alias("null_mse"))
+    return _report(model, spark, losses)
+
+
+def grams_classifier(spark, sf):
     rows = _documents(spark, sf).join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
     weights = balance.class_weights(rows, "quality").withColumnRenamed("label", "quality")
     rows = rows.join(F.broadcast(weights), "quality")
@@ -444,7 +483,7 @@ def train_classifier(spark, sf):
     return scoring.apply_model(model, rows, "seq", ["doc_id", "quality"])
 
 
-def train_regressor(spark, sf):
+def grams_regressor(spark, sf):
     rows = table(spark, sf, "documents").select(
         "doc_id", F.replace("text", F.lit(" "), F.lit("")).alias("seq"), F.col("n_chars").cast("double").alias("labels")
     )
@@ -547,6 +586,8 @@ QUERIES = {
         batch_score,
         train_classifier,
         train_regressor,
+        grams_classifier,
+        grams_regressor,
         classifier_data,
         regressor_data,
         prediction_report,
