@@ -8,18 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def clean_name(name: Column) -> Column:
-    """``train/eval_loss`` and ``train_eval_loss`` style names in one form."""
-    spaced = F.regexp_replace(F.trim(name), r"[\s/]+", "_")
-    return F.lower(spaced)
-
-
-def once_per_step(history: DataFrame) -> DataFrame:
+def once_per_step(history: DataFrame, order: str | None = None) -> DataFrame:
     """Drop the repeats that come from logging one evaluation twice.
 
-    Of differing repeats the largest number stays; NaN and NULL only where there is no number.
+    Of differing repeats the last number by ``order`` stays, without it the largest; NaN and NULL only where
+    there is no number.
     """
     number = F.when(~F.isnan("value"), F.col("value"))
+    if order is not None:
+        last = F.max_by("value", F.struct(number.isNotNull(), F.col(order)))
+        return history.groupBy("run", "metric", "step").agg(last.alias("value"))
     return history.groupBy("run", "metric", "step").agg(F.coalesce(F.max(number), F.max("value")).alias("value"))
 
 
@@ -35,6 +33,17 @@ def latest_metrics(history: DataFrame) -> DataFrame:
     return history.groupBy("run", "metric").agg(last.alias("l")).select("run", "metric", "l.step", "l.value")
 
 
+def report(history: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """``(run, <one column per metric>)``: the last value of every metric; NULL for one that a run lacks."""
+
+    def last(metric: str) -> Column:
+        mine = F.col("metric") == metric
+        return F.max_by(F.when(mine, F.col("value")), F.when(mine, F.col("step")))
+
+    values = [last(m).alias(m) for m in metrics]
+    return history.groupBy("run").agg(*values)
+
+
 def best_step(history: DataFrame, metric: str, *, largest: bool = True) -> DataFrame:
     """``(run, step, value)`` of the best value; the earliest step wins a tie."""
     rows = history.filter(F.col("metric") == metric).filter(F.col("value").isNotNull() & ~F.isnan("value"))

@@ -233,6 +233,15 @@ def _source_split(rows: str) -> str:
 
 
 
+CLASSIFIER_JOB = f"""WITH RECURSIVE chosen AS MATERIALIZED ({CLASSIFIER_SOURCE}), {_edges_lsh('SELECT doc_id, source, seq FROM chosen')}, {SCAN},
+  left_over AS (SELECT doc_id, source, labels FROM chosen WHERE doc_id NOT IN (SELECT id FROM owners)), {_source_split('left_over')},
+  done AS (SELECT doc_id, source, labels, split FROM left_over JOIN names USING (source))"""
+REGRESSOR_JOB = f"""WITH RECURSIVE {REGRESSOR_BINS}, chosen AS MATERIALIZED ({REGRESSOR_SOURCE}),
+  {_edges_lsh('SELECT doc_id, source, seq FROM chosen')}, {SCAN},
+  left_over AS (SELECT doc_id, source, size FROM chosen WHERE doc_id NOT IN (SELECT id FROM owners)), {_source_split('left_over')},
+  named AS (SELECT * FROM left_over JOIN names USING (source))"""
+
+
 def _newton(steps: int) -> str:
     """Unrolled steps for an intercept and two features with a ridge of 1: the inverse of a 3x3 matrix, written out."""
     out = ["step0 AS (SELECT 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2)"]
@@ -406,14 +415,24 @@ profiles AS (SELECT doc_id, string_agg(gram, chr(1) ORDER BY gram) AS profile FR
   model AS (SELECT my - b1 * m1 - b2 * m2 AS b0, b1, b2 FROM slopes),
   losses AS (SELECT avg(pow(b0 + b1 * x1 + b2 * x2 - y, 2)) AS mse, avg(y * y) AS null_mse FROM scaled, model WHERE split = 'test')
   {_named({'intercept': 'b0', 'l_quantity': 'b1', 'l_tax': 'b2'}, 'model')} UNION ALL {_named({'mse': 'mse', 'null_mse': 'null_mse'}, 'losses')}""",
-    "classifier_data": f"""WITH RECURSIVE chosen AS MATERIALIZED ({CLASSIFIER_SOURCE}), {_edges_lsh('SELECT doc_id, source, seq FROM chosen')}, {SCAN},
-  left_over AS (SELECT doc_id, source, labels FROM chosen WHERE doc_id NOT IN (SELECT id FROM owners)), {_source_split('left_over')}
-  SELECT doc_id, source, labels, split FROM left_over JOIN names USING (source)""",
-    "regressor_data": f"""WITH RECURSIVE {REGRESSOR_BINS}, chosen AS MATERIALIZED ({REGRESSOR_SOURCE}),
-  {_edges_lsh('SELECT doc_id, source, seq FROM chosen')}, {SCAN},
-  left_over AS (SELECT doc_id, source, size FROM chosen WHERE doc_id NOT IN (SELECT id FROM owners)), {_source_split('left_over')},
-  named AS (SELECT * FROM left_over JOIN names USING (source)),
-  fitted AS (SELECT avg(size) AS m, stddev_pop(size) AS s FROM named WHERE split = 'train')
+    "classifier_data": f"{CLASSIFIER_JOB} SELECT * FROM done",
+    "classifier_saved": f"""{CLASSIFIER_JOB}
+  SELECT doc_id, source, labels, n_train, n_test, mean_train, mean_test, n_in_clusters FROM done, (SELECT count(*) AS n_in_clusters FROM members),
+    (SELECT count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'test') AS n_test,
+      round(avg(labels) FILTER (split = 'train'), 6) AS mean_train, round(avg(labels) FILTER (split = 'test'), 6) AS mean_test FROM done)
+  WHERE split = 'test'""",
+    "regressor_data": f"""{REGRESSOR_JOB}, fitted AS (SELECT avg(size) AS m, stddev_pop(size) AS s FROM named WHERE split = 'train')
   SELECT doc_id, split, round((size - m) / s, 6) AS labels FROM named, fitted""",
+    "regressor_saved": f"""{REGRESSOR_JOB}
+  SELECT doc_id, split, round(size, 4) AS labels, n_train, n_test, mean_train, std_train, mean_test, std_test FROM named,
+    (SELECT {', '.join(f"count(*) FILTER (split = '{x}') AS n_{x}, round(avg(size) FILTER (split = '{x}'), 4) AS mean_{x}, round(stddev_pop(size) FILTER (split = '{x}'), 4) AS std_{x}" for x in ('train', 'test'))} FROM named)""",
     "prediction_report": f"WITH {_profile('l_returnflag, l_linestatus')} {_trend('l_returnflag, l_linestatus')}",
+    "history_log": """WITH rows AS (SELECT user_id::VARCHAR AS run, 'Eval/' || event_type AS metric,
+    date_diff('day', DATE '2024-01-01', ts::DATE)::INT AS step, value, event_id FROM events WHERE NOT isnan(value))
+  SELECT run, metric, step, arg_max(value, event_id) AS value FROM rows GROUP BY run, metric, step""",
+    "latest_report": f"""WITH {HISTORY}, last AS (SELECT run, metric, arg_max(value, step) AS value FROM history GROUP BY run, metric)
+  SELECT run, {', '.join(f"max(value) FILTER (metric = '{t}') AS {t}" for t in TYPES)} FROM last GROUP BY run""",
+    "user_map": "SELECT doc_id, text[1:20] AS text, length(text) - length(replace(text, 'e', '')) AS n FROM documents",
+    "user_filter": "SELECT doc_id, n_chars FROM documents WHERE 20 * (length(text) - length(replace(text, 'a', ''))) > n_chars",
+    "user_reduce": "SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS chars, max(n_chars)::BIGINT AS longest FROM documents GROUP BY source",
 }

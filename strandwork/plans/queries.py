@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,16 @@ from strandwork.operators import (
     target,
 )
 from strandwork.plans import jobs
-from strandwork.sources.tables import source_rows, spread
+from strandwork.sources.session import shared_folder
+from strandwork.sources.tables import (
+    append_history,
+    load_clusters,
+    load_parameters,
+    load_splits,
+    read_history,
+    source_rows,
+    spread,
+)
 
 SEED = 7
 LOW, HIGH = 20.0, 100.0
@@ -421,6 +431,59 @@ def logs_to_columns(spark, sf):
     return history.logs_to_columns(clean, [failed])
 
 
+def _folder(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def history_log(spark, sf):
+    """Events as a metric log that was appended in three parts, the second of them twice; the last event counts."""
+    rows = table(spark, sf, "events").filter(~F.isnan("value")).select(
+        F.col("user_id").cast("string").alias("run"),
+        F.concat(F.lit("Eval/"), "event_type").alias("metric"),
+        F.datediff("ts", F.lit("2024-01-01").cast("date")).alias("step"),
+        "value",
+        "event_id",
+    )
+    folder = _folder(spark, "history")
+    third = rows.agg((F.max("event_id") / 3).alias("third")).first()[0]
+    parts = [rows.filter(F.least(F.floor(F.col("event_id") / F.lit(third)), F.lit(2)) == i) for i in range(3)]
+    for i in (0, 1, 1, 2):
+        append_history(parts[i], folder, order="event_id")
+    return read_history(spark, folder)
+
+
+def latest_report(spark, sf):
+    return history.report(history.once_per_step(_history(spark, sf)), TYPES)
+
+
+def user_map(spark, sf):
+    def shorten(frame):
+        return frame.assign(text=frame["text"].str[:20], n=frame["text"].str.count("e"))
+
+    rows = table(spark, sf, "documents").select("doc_id", "text")
+    return filters.map_batches(rows, shorten, "doc_id long, text string, n long", batch_rows=500)
+
+
+def user_filter(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", "text", "n_chars")
+    kept = filters.filter_batches(rows, lambda text, n: (text.str.count("a") * 20 > n), ["text", "n_chars"])
+    return kept.select("doc_id", "n_chars")
+
+
+def user_reduce(spark, sf):
+    """A user's reducer: rows, characters and the longest text of each source."""
+    import pandas as pd
+
+    def partial(frame):
+        return pd.DataFrame({"n": [len(frame)], "chars": [frame["n_chars"].sum()], "longest": [frame["n_chars"].max()]})
+
+    def merge(states):
+        return pd.DataFrame({"n": [states["n"].sum()], "chars": [states["chars"].sum()], "longest": [states["longest"].max()]})
+
+    rows = table(spark, sf, "documents").select("source", "n_chars")
+    return filters.reduce_batches(rows, partial, merge, "n long, chars long, longest long", by=["source"])
+
+
 # -- models
 
 
@@ -496,9 +559,9 @@ def grams_regressor(spark, sf):
 # -- whole jobs
 
 
-def classifier_data(spark, sf):
+def _classifier(spark, sf):
     rows = _documents(spark, sf).withColumn("size", F.length("seq").cast("double"))
-    done = jobs.classifier_data(
+    return jobs.classifier_data(
         rows,
         id="doc_id",
         sequence="seq",
@@ -509,16 +572,41 @@ def classifier_data(spark, sf):
         keep=["doc_id", "source", "labels"],
         seed=SEED,
     )
-    return done.data
 
 
-def regressor_data(spark, sf):
+def classifier_data(spark, sf):
+    return _classifier(spark, sf).data
+
+
+def _regressor(spark, sf):
     rows = _documents(spark, sf).withColumn("size", F.length("seq").cast("double"))
-    done = jobs.regressor_data(
+    return jobs.regressor_data(
         rows, id="doc_id", sequence="seq", value="size", group="source", how=LSH,
         keep=["doc_id", "labels"], seed=SEED,
     )
-    return done.data.select("doc_id", "split", r("labels"))
+
+
+def regressor_data(spark, sf):
+    return _regressor(spark, sf).data.select("doc_id", "split", r("labels"))
+
+
+def classifier_saved(spark, sf):
+    """The classifier job written to its sinks; the test split and the summary as they are read back."""
+    folder = _folder(spark, "classifier")
+    summary = jobs.save(_classifier(spark, sf), folder)
+    test = load_splits(spark, f"{folder}/data", "test").select("doc_id", "source", "labels")
+    clusters = load_clusters(spark, f"{folder}/clusters").agg(F.count(F.lit(1)).alias("n_in_clusters"))
+    columns = ["n_train", "n_test", r("mean_train"), r("mean_test")]
+    return attach(attach(test, summary.select(*columns)), clusters)
+
+
+def regressor_saved(spark, sf):
+    """The regressor job written to its sinks; rows in original units from splits and parameters read back."""
+    folder = _folder(spark, "regressor")
+    summary = jobs.save(_regressor(spark, sf), folder)
+    rows = target.restore_target(load_splits(spark, f"{folder}/data"), ["labels"], load_parameters(spark, f"{folder}/parameters"))
+    columns = ["n_train", "n_test", *[r(c, 4) for c in ("mean_train", "std_train", "mean_test", "std_test")]]
+    return attach(rows.select("doc_id", "split", r("labels", 4)), summary.select(*columns))
 
 
 def prediction_report(spark, sf):
@@ -590,6 +678,13 @@ QUERIES = {
         grams_regressor,
         classifier_data,
         regressor_data,
+        classifier_saved,
+        regressor_saved,
+        history_log,
+        latest_report,
+        user_map,
+        user_filter,
+        user_reduce,
         prediction_report,
     )
 }
