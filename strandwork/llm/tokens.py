@@ -318,14 +318,21 @@ def _pieces(run: Texts, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encoded(docs: DataFrame, id: str, text: str, tokenizer: str, end_id: int) -> DataFrame:
-    """``(id, crc, place, n, ids)``: packed ids of each text with the end id, and what orders equal ids."""
+    """``(id, crc, place, n, ids)``: packed ids of each text with the end id, and what orders equal ids.
+
+    Each task adds a row without ``n``, whose ``ids`` are the ids it has used and how often, as longs.
+    """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder.of(tokenizer)
         place = TaskContext.get().partitionId() << 40
+        counts, kind = _Counts(), None
         for batch in batches:
+            kind = batch.column(0).type
             for run in texts(batch.column(1), _RUN_BYTES):
                 ids, sizes = encoder.encode(run)
+                counts.add(ids)
+                counts.add(np.full(len(run), end_id))
                 parts = [np.append(p, np.uint32(end_id)) for p in np.split(ids, np.cumsum(sizes)[:-1])]
                 columns = [
                     batch.column(0).slice(run.first, len(run)),
@@ -336,11 +343,31 @@ def encoded(docs: DataFrame, id: str, text: str, tokenizer: str, end_id: int) ->
                 ]
                 place += len(run)
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "crc", "place", "n", "ids"])
+        if kind is not None:
+            nothing = [pa.nulls(1, kind), *[pa.nulls(1, pa.int64())] * 3]
+            yield pa.RecordBatch.from_arrays([*nothing, pa.array([counts.packed()], pa.binary())], names=["id", "crc", "place", "n", "ids"])
 
     kind = docs.schema[id].dataType.simpleString()
     return docs.select(id, text).mapInArrow(kernel, f"id {kind}, crc bigint, place bigint, n bigint, ids binary")
 
 
+class _Counts:
+    """How often ids were used."""
+
+    def __init__(self):
+        self.sums = np.zeros(1 << 16, np.int64)
+
+    def add(self, ids: np.ndarray) -> None:
+        found = np.bincount(ids)
+        if len(found) > len(self.sums):
+            self.sums = np.concatenate([self.sums, np.zeros(len(found) - len(self.sums), np.int64)])
+        self.sums[: len(found)] += found
+
+    def packed(self) -> bytes:
+        used = np.flatnonzero(self.sums)
+        return np.concatenate([used, self.sums[used]]).tobytes()
+
+
 def _packed(ids: np.ndarray) -> bytes:
     """Two bytes for each id where that is enough, else four."""
     return ids.astype("<u2" if ids.max() < 1 << 16 else "<u4").tobytes()
@@ -469,20 +496,16 @@ def write_ids(docs: DataFrame, id: str, text: str, tokenizer: str, end_id: int,
     are ordered by the checksum of their token ids, so only equal rows can change places. Ids are of any
     type with an order. Other columns are not read; an empty table gives a folder without blocks.
     """
-    rows = written(encoded(docs, id, text, tokenizer, end_id), "tokens-ids")
+    both = written(encoded(docs, id, text, tokenizer, end_id), "tokens-ids")
+    rows = both.filter("n IS NOT NULL")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(1 << 16, np.int64)
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for n, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = np.bincount(_unpacked(data.as_buffer(), n))
-                if len(found) > len(sums):
-                    sums = np.concatenate([sums, np.zeros(len(found) - len(sums), np.int64)])
-                sums[: len(found)] += found
-        used = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(sums[used])], names=["token", "count"])
-
-    counts = rows.select("n", "ids").mapInArrow(count, "token bigint, count bigint")
+            for data in batch.column(0):
+                used, times = np.frombuffer(data.as_buffer(), np.int64).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(times)], names=["token", "count"])
+
+    counts = both.filter("n IS NULL").select("ids").mapInArrow(unpack, "token bigint, count bigint")
     # One row per id in use: at most the size of the tokenizer's vocabulary.
     counts = counts.groupBy("token").agg(F.sum("count").alias("count")).orderBy("token").toArrow()
     ids = counts["token"].to_numpy()
