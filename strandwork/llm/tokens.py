@@ -35,9 +35,9 @@ STRIDE = 1024
 BLOCK_IDS = 1 << 16
 MOST_BITS = 16
 
-_RUN_BYTES = 512 << 10
+_RUN_BYTES = 384 << 10
 #: Bytes that a worker keeps of pieces it has encoded, and of pieces that it encodes at a time.
-_KEPT_BYTES = 48 << 20
+_KEPT_BYTES = 40 << 20
 _LINE_BYTES = 64 << 10
 #: Ids of one part of the files.
 _PART_IDS = 32 << 20
