@@ -49,8 +49,8 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = toxicity.graded(table(spark, sf_dir, "labels"))
-    return toxicity.severity(table(spark, sf_dir, "documents"), labels)
+    labels = table(spark, sf_dir, "labels")
+    return toxicity.severity(table(spark, sf_dir, "documents"), labels, grade="toxic", weak=True)
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:

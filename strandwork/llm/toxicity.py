@@ -2,6 +2,9 @@
 
 Grades are ordered. One weight per hashed word is shared by all thresholds: the chance that a text is
 above grade k is sigmoid(score - threshold_k). The expected severity is the sum of those chances.
+
+Where labels only tell toxic texts from others, the upper grades are weak labels: toxic texts of the sample are
+ranked by the share of their words that are typical of toxic texts, and cut into equal parts.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,23 +54,51 @@ def features(run: Texts, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return pairs // buckets, pairs % buckets
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id: str, text: str, grade: str, most: int, buckets: int) -> list:
-    """``(grade, features)`` of at most ``most`` labelled rows, the first by a hash of the id."""
-    chosen = labels.filter(F.col(grade).isNotNull() & F.col(id).isNotNull()).select(F.col(id).alias("_id"), grade)
-    chosen = chosen.withColumn("_order", order_hash(["_id"], 11)).orderBy("_order", grade).limit(most).drop("_order")
-    picked = docs.join(F.broadcast(chosen), docs[id] == chosen["_id"])  # at most ``most`` narrow rows
-    picked = picked.select(F.col(grade).cast("int").alias("grade"), F.col(text).alias("text"))
+def training_rows(docs: DataFrame, labels: DataFrame, id: str, text: str, grade: str, most: int, buckets: int) -> pa.Table:
+    """``(grade, features)`` of at most ``most`` labelled ids, the first by a hash, in the order of that hash.
+
+    Of several texts with one id the first by a hash is taken.
+    """
+    chosen = labels.filter(F.col(grade).isNotNull() & F.col(id).isNotNull())
+    chosen = chosen.select(F.col(id).alias("id"), F.col(grade).cast("int").alias("grade")).distinct()
+    chosen = chosen.withColumn("order", order_hash(["id"], 11)).orderBy("order", "grade").limit(most)
+    own = docs.select(F.col(id).alias("doc"), F.col(text).alias("text"))
+    picked = own.join(F.broadcast(chosen), F.col("doc") == F.col("id"))  # at most ``most`` narrow rows
+    picked = picked.groupBy("order", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for run in texts(batch.column(1)):
+            for run in texts(batch.column(2)):
                 row, feature = features(run, buckets)
                 cuts = np.searchsorted(row, np.arange(len(run) + 1))
                 lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(feature.astype(np.int32)))
-                grades = batch.column(0).slice(run.first, len(run))
-                yield pa.RecordBatch.from_arrays([grades, lists], names=["grade", "features"])
+                columns = [batch.column(k).slice(run.first, len(run)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*columns, lists], names=["order", "grade", "features"])
+
+    found = picked.mapInArrow(kernel, "order string, grade int, features array<int>").toArrow()
+    return found.sort_by([("order", "ascending"), ("grade", "ascending")]).drop_columns(["order"])
 
-    return picked.mapInArrow(kernel, "grade int, features array<int>").limit(2 * most).toArrow()
+
+def weak_grades(rows: pa.Table, grades: int, buckets: int, least: int = 4) -> pa.Table:
+    """``rows`` with grade 0 as it is, and the others regraded 1 to ``grades - 1`` by evidence.
+
+    A feature is typical if at least ``least`` rows have it and it is ``e`` times likelier in a row above 0
+    than in one of grade 0. The evidence of a row is the share of its features that are typical; rows above
+    0 are cut at its quantiles into as many parts as there are grades above 0.
+    """
+    y = rows["grade"].to_numpy() > 0
+    if not y.any() or y.all():
+        return rows
+    lists = rows["features"].combine_chunks()
+    lengths = pc.list_value_length(lists).to_numpy()
+    feature, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(y)), lengths)
+    upper, lower = (np.bincount(feature[mine[row]], minlength=buckets) for mine in (y, ~y))
+    odds = np.log((upper + 0.5) / (y.sum() + 1)) - np.log((lower + 0.5) / ((~y).sum() + 1))
+    typical = (odds > 1) & (upper + lower >= least)
+    evidence = np.bincount(row, weights=typical[feature], minlength=len(y)) / np.maximum(lengths, 1)
+    cuts = np.quantile(evidence[y], np.arange(1, grades - 1) / (grades - 1))
+    new = np.where(y, 1 + np.searchsorted(cuts, evidence, "right"), 0)
+    return rows.set_column(0, "grade", pa.array(new, pa.int32()))
 
 
 def fit(rows: pa.Table, grades: int, buckets: int, rounds: int = 200, l1: float = 2e-4, least: int = 4) -> OrdinalModel:
@@ -138,18 +170,21 @@ def severity(
     grades: int = 3,
     most: int = 8_000,
     buckets: int = 1 << 18,
+    weak: bool = False,
 ) -> DataFrame:
     """``(id, n_features, severity, p_toxic, grade, toxic)`` for every row of ``docs``.
 
     The model is fitted on at most ``most`` labelled rows (a documented bound, the first by a hash of the
-    id), with grades 0 to ``grades - 1`` in ``labels(id, grade)``. ``severity`` is the expected grade,
+    id), with grades 0 to ``grades - 1`` in ``labels(id, grade)``; ``weak`` takes any grade above 0 for toxic
+    and makes the grades itself (see ``weak_grades``). ``severity`` is the expected grade,
     ``p_toxic`` the chance to be above 0, ``toxic`` whether that is at least one half, ``grade`` the
     number of thresholds passed with at least one half. A NULL, empty or wordless text has no features
     and gets the base chance. NULL labels are not used; repeated rows and NULL ids are scored like any
     other; labels without a text are ignored; other columns are not read; without labels the chance is
     even at worst; an empty table gives an empty result. Texts are scored whole.
     """
-    model = fit(training_rows(docs, labels, id, text, grade, most, buckets), grades, buckets)
+    rows = training_rows(docs, labels, id, text, grade, most, buckets)
+    model = fit(weak_grades(rows, grades, buckets) if weak else rows, grades, buckets)
     held = docs.sparkSession.sparkContext.broadcast(model)  # ``buckets`` weights, whatever the data
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,9 +208,3 @@ def severity(
     kind = docs.schema[id].dataType.simpleString()
     schema = f"`{id}` {kind}, n_features bigint, severity double, p_toxic double, grade int, toxic boolean"
     return docs.select(id, text).mapInArrow(kernel, schema)
-
-
-def graded(labels: DataFrame, id: str = "doc_id", toxic: str = "toxic", quality: str = "quality") -> DataFrame:
-    """``(id, grade)``: 0 not toxic, 1 toxic, 2 toxic in a text that is also of low quality."""
-    low = F.coalesce(F.col(quality), F.lit(1)) == 0
-    return labels.select(id, (F.col(toxic) * (1 + low.cast("int"))).cast("int").alias("grade"))
