@@ -10,7 +10,8 @@ a fixed grid with the best leave-one-out likelihood of all training tokens.
 
 The counts are gathered over all training texts by the packed exchange of ``chunks``: each chunk gets the
 counts of exactly the n-grams that occur in it, which make the part of the automaton its texts can reach.
-One pass over its tokens, left to right, takes arcs and failure arcs and adds up the weights.
+Its histories become numbered states. One traversal carries the state of every text from left to right: it
+takes the arc of the next token, or failure arcs until there is one, and adds up the weights.
 """
 
 from __future__ import annotations
@@ -66,7 +67,7 @@ class Tokens:
         ids = [None if i == NO_ID else i for i in chunk.ids.tolist()]
         self.training = np.array([in_training(i, folds, held) for i in ids], bool)
         train = np.repeat(self.training, self.counts)
-        place = np.arange(len(tokens)) - np.repeat(self.starts[:-1], self.counts)
+        self.place = place = np.arange(len(tokens)) - np.repeat(self.starts[:-1], self.counts)
         # An n-gram reaches back over at most one begin mark; the key tells how long it is.
         self.keys: list[np.ndarray] = []
         self.at: list[np.ndarray] = []  # n-gram of each position, by order
@@ -86,61 +87,133 @@ class Tokens:
 
 
 class Automaton:
-    """Arcs and failure arcs of the n-grams of one chunk, for each strength of smoothing.
+    """The states, arcs and failure arcs that the texts of one chunk can reach, with a weight per strength.
 
+    State 0 is the empty history and state 1 the begin of a text; further states are the n-grams below the
+    full order that training has. The root has an arc for every token, so a traversal always goes on.
     ``counts[n - 1]`` are the training counts of the distinct n-grams of order n, ``begins`` those of a
-    text's begin. Chances are kept for every position, since two positions with the same n-gram agree.
+    text's begin.
     """
 
-    def __init__(self, tokens: Tokens, counts: list[np.ndarray], n_tokens: int, n_words: int, begins: int):
+    ROOT, BEGIN = 0, 1
+
+    def __init__(
+        self, tokens: Tokens, counts: list[np.ndarray], n_tokens: int, n_words: int, begins: int, strengths: Sequence[float]
+    ):
         self.tokens, self.counts, self.begins = tokens, counts, begins
         self.n_tokens, self.n_words = n_tokens, n_words
+        self.strengths = np.array(strengths)
+        self.n_words_here = len(counts[0])
+        self._number_states()
+        self._draw_arcs()
 
     def unigram(self, less: int = 0) -> np.ndarray:
         """P(w) of the distinct tokens, with ``less`` occurrences of the token left out."""
         return (np.maximum(self.counts[0] - less, 0) + 0.5) / (self.n_tokens - less + 0.5 * (self.n_words + 1))
 
-    def history(self, n: int) -> np.ndarray:
-        """Training count of the history of each position's n-gram."""
-        shorter = self.counts[n - 2][self.tokens.at[n - 2]]
-        before = np.empty_like(shorter)
-        before[1:] = shorter[:-1]
-        before[self.tokens.starts[:-1][self.tokens.counts > 0]] = self.begins
-        return before
-
-    def walk(self, strength: float) -> np.ndarray:
-        """log10 weight that the automaton adds at each position.
-
-        From the state of the longest history, the arc of the token if there is one; else the failure
-        arc, and the same again from the shorter history.
-        """
-        tokens = self.tokens
-        chance = self.unigram()[tokens.at[0]]
-        arc, failure, known = [np.log10(chance)], [], []
-        for n in range(2, len(self.counts) + 1):
-            count, history = self.counts[n - 1][tokens.at[n - 1]], self.history(n)
-            chance = (count + strength * chance) / (history + strength)
-            arc.append(np.log10(chance))
-            failure.append(np.log10(strength / (history + strength)))
-            known.append(count > 0)
-        weight = np.zeros(len(chance))
-        waiting = np.ones(len(chance), bool)
-        for n in range(len(self.counts), 1, -1):
-            takes = waiting & known[n - 2]
-            weight[takes] += arc[n - 1][takes]
-            waiting &= ~takes
-            weight[waiting] += failure[n - 2][waiting]
-        weight[waiting] += arc[0][waiting]
-        return weight
-
-    def left_out(self, strength: float) -> np.ndarray:
-        """log10 chance of each position with its own occurrence left out of all counts (training texts)."""
-        tokens = self.tokens
-        chance = self.unigram(1)[tokens.at[0]]
+    def _seen_at(self, n: int) -> np.ndarray:
+        """For each distinct n-gram a position where it ends, -1 for what is no n-gram but a shorter one at a begin."""
+        where = np.full(len(self.counts[n - 1]), -1)
+        whole = np.flatnonzero(self.tokens.place >= n - 2)
+        where[self.tokens.at[n - 1][whole]] = whole
+        return where
+
+    def _history(self, n: int, at: np.ndarray) -> np.ndarray:
+        """Training count of the history of the n-gram that ends at each position."""
+        before = self.counts[n - 2][self.tokens.at[n - 2][at - 1]]
+        return np.where(self.tokens.place[at] == 0, self.begins, before)
+
+    def _number_states(self) -> None:
+        self.state: list[np.ndarray] = []  # of each distinct n-gram, by order; -1 where it is none
+        sizes, fail = [0, self.begins], [self.ROOT, self.ROOT]
+        for n in range(1, len(self.counts)):
+            where = self._seen_at(n)
+            mine = np.flatnonzero((self.counts[n - 1] > 0) & (where >= 0))
+            state = np.full(len(where), -1)
+            state[mine] = len(sizes) + np.arange(len(mine))
+            shorter = self.state[n - 2][self.tokens.at[n - 2][where[mine]]] if n > 1 else np.full(len(mine), self.ROOT)
+            self.state.append(state)
+            sizes += self.counts[n - 1][mine].tolist()
+            fail += shorter.tolist()
+        self.fail = np.array(fail)
+        self.failure = np.log10(self.strengths / (np.array(sizes)[:, None] + self.strengths))
+
+    def _longest(self, at: np.ndarray, most: int) -> np.ndarray:
+        """The state of the longest history of at most ``most`` tokens that ends at each position."""
+        out = np.full(len(at), self.ROOT)
+        for n in range(1, min(most, len(self.state)) + 1):
+            state = self.state[n - 1][self.tokens.at[n - 1][at]]
+            known = (state >= 0) & (self.tokens.place[at] >= n - 2)
+            out[known] = state[known]
+        return out
+
+    def _draw_arcs(self) -> None:
+        every = np.arange(self.n_words_here)
+        self.root = np.repeat(np.log10(self.unigram())[:, None], len(self.strengths), axis=1)
+        self.root_to = np.where(self.state[0] >= 0, self.state[0], self.ROOT) if self.state else np.zeros_like(every)
+        keys, weights, to = [np.empty(0, np.int64)], [np.empty((0, len(self.strengths)))], [np.empty(0, np.int64)]
         for n in range(2, len(self.counts) + 1):
-            count, history = self.counts[n - 1][tokens.at[n - 1]], self.history(n)
-            chance = (np.maximum(count - 1, 0) + strength * chance) / (np.maximum(history - 1, 0) + strength)
-        return np.log10(chance)
+            where = self._seen_at(n)
+            at = where[(where >= 0) & (self.counts[n - 1] > 0)]
+            if n == 2:
+                source = np.where(self.tokens.place[at] == 0, self.BEGIN, self.state[0][self.tokens.at[0][at - 1]])
+            else:
+                source = self.state[n - 2][self.tokens.at[n - 2][at - 1]]
+            keys.append(source * self.n_words_here + self.tokens.at[0][at])
+            weights.append(np.log10(self._chance(at, n)))
+            to.append(self._longest(at, n))
+        flat = np.concatenate(keys)
+        order = np.argsort(flat, kind="stable")
+        self.keys, self.weight, self.to = flat[order], np.concatenate(weights)[order], np.concatenate(to)[order]
+
+    def _chance(self, at: np.ndarray, most: int, less: int = 0) -> np.ndarray:
+        """P(token | up to ``most - 1`` tokens ahead of it) at some positions, one column per strength."""
+        chance = np.repeat(self.unigram(less)[self.tokens.at[0][at]][:, None], len(self.strengths), axis=1)
+        for n in range(2, most + 1):
+            count = np.maximum(self.counts[n - 1][self.tokens.at[n - 1][at]] - less, 0)[:, None]
+            history = np.maximum(self._history(n, at) - less, 0)[:, None]
+            longer = (count + self.strengths * chance) / (history + self.strengths)
+            chance = np.where((self.tokens.place[at] >= n - 2)[:, None], longer, chance)
+        return chance
+
+    def traverse(self) -> np.ndarray:
+        """log10 weight of every text, one column per strength; the texts go on side by side, a token at a time."""
+        counts, starts, words = self.tokens.counts, self.tokens.starts[:-1], self.tokens.at[0]
+        lanes = np.argsort(-counts, kind="stable")
+        longest = -counts[lanes]
+        state = np.full(len(lanes), self.BEGIN if self.state else self.ROOT)
+        total = np.zeros((len(lanes), len(self.strengths)))
+        for step in range(int(counts.max(initial=0))):
+            live = int(np.searchsorted(longest, -step, "left"))
+            word = words[starts[lanes[:live]] + step]
+            waiting = np.arange(live)
+            while len(waiting):
+                at, token = state[waiting], word[waiting]
+                key = at * self.n_words_here + token
+                arc = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+                taken = self.keys[arc] == key if len(self.keys) else np.zeros(len(key), bool)
+                root = at == self.ROOT
+                taken &= ~root
+                total[waiting[taken]] += self.weight[arc[taken]]
+                total[waiting[root]] += self.root[token[root]]
+                state[waiting[taken]] = self.to[arc[taken]]
+                state[waiting[root]] = self.root_to[token[root]]
+                back = ~(taken | root)
+                total[waiting[back]] += self.failure[at[back]]
+                state[waiting[back]] = self.fail[at[back]]
+                waiting = waiting[back]
+        out = np.empty_like(total)
+        out[lanes] = total
+        return out
+
+    def left_out(self) -> np.ndarray:
+        """log10 chance of every text with each token's own occurrence left out of all counts (training texts)."""
+        n = len(self.tokens.place)
+        parts = [np.empty((0, len(self.strengths)))]
+        for i in range(0, n, 1 << 18):
+            at = np.arange(i, min(n, i + (1 << 18)))
+            parts.append(np.log10(self._chance(at, len(self.counts), 1)))
+        return np.add.reduceat(np.concatenate(parts), self.tokens.starts[:-1], axis=0) if n else parts[0]
 
 
 def _per_text(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -191,9 +264,8 @@ def scored(
     def score(chunk: Chunk) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(chunk, order, folds, held)
         held_counts = [answer_values(chunk.answers, n) >> 1 for n in range(1, order + 1)]
-        automaton = Automaton(tokens, held_counts, n_tokens, n_words, begins)
-        scores = [_per_text(automaton.walk(a), tokens.starts) for a in strengths]
-        left_out = [_per_text(automaton.left_out(a), tokens.starts) * tokens.training for a in strengths]
+        automaton = Automaton(tokens, held_counts, n_tokens, n_words, begins, strengths)
+        scores, left_out = automaton.traverse(), automaton.left_out() * tokens.training[:, None]
         known = (held_counts[0] > 0)[tokens.at[0]]
         columns = [
             id_column(chunk.ids),
@@ -201,8 +273,8 @@ def scored(
             pa.array(tokens.counts),
             pa.array(_per_text(known.astype(np.int64), tokens.starts).astype(np.int64)),
             pa.array(_per_text(np.log10(automaton.unigram())[tokens.at[0]], tokens.starts)),
-            pa.array(np.stack(scores, axis=1).tolist(), pa.list_(pa.float64())),
-            pa.array(np.stack(left_out, axis=1).tolist(), pa.list_(pa.float64())),
+            pa.array(scores.tolist(), pa.list_(pa.float64())),
+            pa.array(left_out.tolist(), pa.list_(pa.float64())),
         ]
         names = ["id", "held_out", "n_tokens", "n_known", "base_score", "scores", "left_out"]
         yield pa.RecordBatch.from_arrays(columns, names=names)

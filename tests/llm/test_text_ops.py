@@ -355,31 +355,40 @@ def test_quality_base(request, table):
 # -- language model
 
 
-@pytest.mark.parametrize("table", ["odd", "small"])
-def test_language_model(request, table):
+@pytest.mark.parametrize(("table", "order"), [("odd", 2), ("small", 2), ("odd", 3), ("small", 3), ("odd", 1), ("odd", 4)])
+def test_language_model(request, table, order):
     docs = request.getfixturevalue(table)
-    found = lm.scored(docs).collect()
+    found = lm.scored(docs, order=order).collect()
     assert len(found) == docs.count()
     coded = [(i, [*space_words(lower(t)), "\0end"]) for i, t in texts_of(docs)]
     train = [t for i, t in coded if zlib.crc32(b"" if i is None else str(i).encode()) % 5 != 1]
-    one = collections.Counter(w for t in train for w in t)
-    two = collections.Counter(p for t in train for p in zip(["\0begin", *t], t, strict=False))
-    total, distinct = sum(one.values()), len(one)
-    history = one | {"\0begin": len(train)}
+    begun = ["\0begin"]
+    grams = collections.Counter()
+    for t in train:
+        whole = [*begun, *t]
+        grams[tuple(begun)] += 1
+        for p in range(1, len(whole)):
+            for n in range(1, min(order, p + 1) + 1):
+                grams[tuple(whole[p + 1 - n : p + 1])] += 1
+    total = sum(len(t) for t in train)
+    distinct = len({w for t in train for w in t})
 
     def base(w, less=0):
-        return (one[w] - less + 0.5) / (total - less + 0.5 * (distinct + 1))
-
-    def chance(h, w, a, less=0):
-        return (two[h, w] - less + a * base(w, less)) / (history.get(h, 0) - less + a)
-
-    def pairs(t):
-        return zip(["\0begin", *t], t, strict=False)
-
-    best = max(lm.STRENGTHS, key=lambda a: sum(math.log10(chance(h, w, a, 1)) for t in train for h, w in pairs(t)))
+        return (grams[(w,)] - less + 0.5) / (total - less + 0.5 * (distinct + 1))
+
+    def chances(t, a, less=0):
+        whole = [*begun, *t]
+        for p in range(1, len(whole)):
+            chance = base(whole[p], less)
+            for n in range(2, min(order, p + 1) + 1):
+                gram = tuple(whole[p + 1 - n : p + 1])
+                chance = (grams[gram] - less + a * chance) / (grams[gram[:-1]] - less + a)
+            yield chance
+
+    best = max(lm.STRENGTHS, key=lambda a: sum(math.log10(c) for t in train for c in chances(t, a, 1))) if order > 1 else 1.0
     expected = [
-        (i, len(t), sum(one[w] > 0 for w in t), round(sum(math.log10(base(w)) for w in t), 6),
-         round(sum(math.log10(chance(h, w, best)) for h, w in pairs(t)), 6))
+        (i, len(t), sum(grams[(w,)] > 0 for w in t), round(sum(math.log10(base(w)) for w in t), 6),
+         round(sum(map(math.log10, chances(t, best))), 6))
         for i, t in coded
     ]
     got = [(r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in found]
