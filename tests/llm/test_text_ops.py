@@ -546,14 +546,110 @@ def test_empty_tables(spark, empty):
         assert result.collect() == []
 
 
-def test_pipeline(spark, small):
-    docs, sizes = small, []
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, SMALL)
-        assert docs.columns == small.columns
-        sizes.append(docs.count())
-    assert sizes[0] >= sizes[1] >= sizes[2] > 0
-    assert corpus_pipeline.run(spark, SMALL).count() == sizes[-1]
+def naive_kept(text):
+    """The verdict of the quality rules, n-gram by n-gram."""
+    found = space_words(text)
+
+    def inside(n):
+        grams = collections.Counter(tuple(found[i : i + n]) for i in range(len(found) - n + 1))
+        return {i + k for i in range(len(found) - n + 1) if grams[tuple(found[i : i + n])] > 1 for k in range(n)}
+
+    if len(found) < 20 or 100 * len(inside(8)) > 30 * len(found):
+        return False
+    chars = sum(map(len, found))
+    if any(sum(len(found[i]) for i in inside(n)) > most * chars + 1e-9 for n, most in rules.NGRAM_LIMITS.items()):
+        return False
+    lines = [line for line in text.split("\n") if space_words(line)]
+    again = [line for i, line in enumerate(lines) if line in lines[:i]]
+    symbols = sum(c in rules.SYMBOLS.decode() for c in text)
+    if len(again) > 0.3 * len(lines) + 1e-9 or symbols > 0.1 * len(found) + 1e-9:
+        return False
+    return sum(len(w) for line in again for w in space_words(line)) <= 0.2 * chars + 1e-9
+
+
+def naive_mix(rows):
+    """How often fair queueing takes each of ``(id, text, source)``, sorting every document."""
+    def key(x):
+        return (x is not None, x if x is not None else 0)
+
+    size = [len(space_words(t)) for _, t, _ in rows]
+    sources = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    whole = {s: sum(n for n, r in zip(size, rows, strict=True) if r[2] == s) for s in sources}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sources)}
+    full, target = set(), {}
+    while True:
+        left = 1.5 * sum(whole.values()) - sum(2 * whole[s] for s in full)
+        rest = [s for s in sources if s not in full]
+        target = {s: 2 * whole[s] if s in full else left * weight[s] / sum(weight[r] for r in rest) for s in sources}
+        over = {s for s in rest if target[s] >= 2 * whole[s]}
+        if not over:
+            break
+        full |= over
+    queue = []
+    for s in sources:
+        mine = [i for i, r in enumerate(rows) if r[2] == s]
+        shuffled = [hashlib.md5(f"{'' if rows[i][0] is None else rows[i][0]}|7".encode()).hexdigest() for i in mine]
+        sent, copies = 0, collections.Counter()
+        for _, i in sorted(zip(shuffled, mine, strict=True), key=lambda x: (x[0], key(rows[x[1]][0]), size[x[1]])):
+            unit = (rows[i][0], s, size[i])
+            for turn in (0, 1):
+                if size[i]:
+                    at = (sent + size[i] + turn * whole[s]) / target[s]
+                    queue.append((at, (s is not None, s or ""), key(rows[i][0]), turn, size[i], copies[unit], i))
+            sent += size[i]
+            copies[unit] += 1
+    taken, used, budget = collections.Counter(), 0, 1.5 * sum(whole.values())
+    for entry in sorted(queue):
+        used += entry[4]
+        if used > budget:
+            break
+        taken[entry[-1]] += 1
+    return taken
+
+
+def naive_pipeline(rows, items):
+    rows = [r for r in rows if naive_kept(r[1] or "")]
+    groups = collections.defaultdict(list)
+    marked = [(i, fingerprint(r[1])) for i, r in enumerate(rows)]
+    for i, _, group in components(marked, 4):
+        groups[group].append(i)
+
+    def first(i):
+        mark = xxhash.xxh64_intdigest((rows[i][1] or "").encode(), 42)
+        return (rows[i][0] is None, rows[i][0] or 0, mark - (1 << 64 if mark >> 63 else 0))
+
+    rows = [rows[min(g, key=first)] for g in groups.values()]
+    rows = [r for r in rows if not naive_contamination(r[1], items)[1]]
+    taken = naive_mix(rows)
+    tokenizer = Tokenizer.from_file(BPE)
+    out, start = [], 0
+    coded = []
+    for i, n in taken.items():
+        ids = [*tokenizer.encode(rows[i][1] or "", add_special_tokens=False).ids, 2]
+        coded += [(rows[i][0], zlib.crc32(np.array(ids, "<u4").tobytes()), len(ids))] * n
+    for doc, crc, n in sorted(coded, key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
+        out.append((doc, start, n, crc))
+        start += n
+    return out
+
+
+def test_pipeline(spark, small, tmp_path):
+    """All stages on plain and odd documents, against one search after the other."""
+    data = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in small.collect() if len(r.text or "") < 12_000]
+    data += [(None if i is None else i + 5000, t, "xx", s, 0) for i, t, s in TEXTS]
+    data += [(6000 + i % 2, f"{PROSE} psi {i % 2} omega", None, None, None) for i in range(6)]
+    spark.createDataFrame(data, small.select("doc_id", "text", "lang", "source", "n_chars").schema).write.parquet(f"{tmp_path}/documents.parquet")
+    items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    wanted = naive_pipeline([(d[0], d[1], d[3]) for d in data], [(str(r.item_id), r.text) for r in items.collect()])
+    found = [tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "start", "n_tokens", "ids_crc32").collect()]
+    assert len(wanted) > 50 and ordered(found) == ordered(wanted)
+
+
+def test_pipeline_of_nothing(spark, small, tmp_path):
+    small.select("doc_id", "text", "lang", "source", "n_chars").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SMALL}/benchmark.parquet").limit(0).write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
 
 
 def test_pieces_give_the_ids_of_whole_texts():
