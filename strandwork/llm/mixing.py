@@ -16,13 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandwork.functions.attach import attach
+from strandwork.functions.attach import attach, join_by, join_small
 from strandwork.llm.store import free_name, written
 from strandwork.llm.units import counted, expanded
 
 #: Hexadecimal digits of the random order that make the ranges in a source, and ranges of virtual time up to 1.
 RANGE_DIGITS = 3
 RANGES = 4096
+SEED = 7
 
 
 def word_count(text: Column) -> Column:
@@ -53,14 +54,17 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float =
     return rows.select("source", "source_size", target.alias("target"))
 
 
+def _order(id: Column, seed: int) -> Column:
+    """The random order of a source's documents."""
+    return F.md5(F.concat_ws("|", F.coalesce(id.cast("string"), F.lit("")), F.lit(str(seed))))
+
+
 def _queued(docs: DataFrame, id: str, source: str, text: str, seed: int, sizes_to_targets) -> DataFrame:
     """Every row with its source's target and ``before``: the words its source sends ahead of it in a round."""
     rows = docs.select(
         F.col(id).alias("id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")
     )
-    units = counted(rows, "mixing-units").withColumn(
-        "order", F.md5(F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(str(seed))))
-    )
+    units = counted(rows, "mixing-units").withColumn("order", _order(F.col("id"), seed))
     units = units.withColumn("range", F.substring("order", 1, RANGE_DIGITS)).withColumn("words", F.col("size") * F.col("n"))
     sums = written(units.groupBy("source", "range").agg(F.sum("words").alias("words")), "mixing-ranges")
     goals = sizes_to_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")))
@@ -85,7 +89,7 @@ def mixed_sources(
     weights: Sequence[int] = (5, 2, 1),
     share: float = 1.5,
     repeats: int = 2,
-    seed: int = 7,
+    seed: int = SEED,
 ) -> DataFrame:
     """``(id, source, size, source_size, target, copy, times, taken)`` for every row of ``docs``.
 
@@ -145,32 +149,43 @@ def mixed_documents(
 ) -> DataFrame:
     """The rows of ``docs`` with all their columns, each as often as ``mixed_sources`` takes it.
 
-    Of rows with equal id, source and size the first by a hash of the text are taken, in every round; equal
-    rows take each other's place. Names of columns do not matter.
+    In the order of its documents a source gives a whole number of them in every round, so what is taken
+    follows from the last one of each source and round, and rows are compared with these where they are; no
+    text is shuffled. Of rows with equal id, source and size, where the budget ends among them, the first by
+    a hash of the text are taken; equal rows take each other's place. Names of columns do not matter.
     """
     name = free_name(docs, "mix")
-    unit, mark, turns, here, number = (f"{name}_{x}" for x in ("unit", "mark", "turns", "here", "number"))
+    place, mark, here, number, cuts = (f"{name}_{x}" for x in ("place", "mark", "here", "number", "cuts"))
+    seed = how.get("seed", SEED)
     plan = mixed_sources(docs, id, source, text, repeats=repeats, **how)
-    plan_unit = F.struct(F.col(id).alias("id"), F.col(source).alias("source"), F.col("size").alias("size"))
-    taken = [F.sum((F.col("times") > k).cast("bigint")) for k in range(repeats)]
-    both = F.struct(F.count("*").alias("n"), F.array(*taken).alias("taken"))
-    plan = plan.groupBy(plan_unit.alias(unit)).agg(both.alias(turns)).filter(F.array_max(f"{turns}.taken") > 0)
-    own = F.struct(F.col(id).alias("id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
-    rows = docs.withColumn(unit, own).withColumn(here, F.spark_partition_id()).withColumn(mark, F.xxhash64(text)).join(plan, unit)
-    # The budget ends inside a few units only; all others are taken as a whole or not.
-    whole = F.forall(f"{turns}.taken", lambda x: (x == 0) | (x == F.col(f"{turns}.n")))
-    times = F.size(F.filter(f"{turns}.taken", lambda x: x > 0))
-    # Written, so that every row is counted and numbered in the same place.
-    parts = written(rows.filter(~whole), "mixing-parts")
-    counts = parts.groupBy(unit, mark, here).agg(F.count("*").alias(number))
-    ahead = W.partitionBy(unit).orderBy(mark, here).rowsBetween(W.unboundedPreceding, -1)
+    own = F.struct(_order(F.col(id), seed).alias("order"), F.col(id).alias("id"), F.col("size").alias("size"))
+    taken = [F.sum((F.col("times") > k).cast("bigint")).alias(f"n{k}") for k in range(repeats)]
+    units = plan.filter("size > 0").groupBy(F.col(source).alias(name), own.alias("at")).agg(F.count("*").alias("n"), *taken)
+    last = [
+        F.max(F.when(F.col(f"n{k}") > 0, F.struct("at", F.col(f"n{k}").alias("taken"), "n"))) for k in range(repeats)
+    ]
+    ends = units.groupBy(name).agg(F.array_compact(F.array(*last)).alias(cuts))  # one row per source
+    size = word_count(F.col(text))
+    mine = F.struct(_order(F.col(id), seed).alias("order"), F.col(id).alias("id"), size.alias("size"))
+    rows = docs.withColumn(name, F.col(source).cast("string")).withColumn(place, mine).filter(F.col(place)["size"] > 0)
+    rows = join_small(rows, ends, [name])
+    within = F.col(place)
+    whole = F.filter(cuts, lambda c: (within < c["at"]) | ((within == c["at"]) & (c["taken"] == c["n"])))
+    split = F.exists(cuts, lambda c: F.coalesce((within == c["at"]) & (c["taken"] < c["n"]), F.lit(False)))
+    # The budget ends inside one unit of a source and round at most. Its rows are written, so that every one is
+    # counted and numbered in the same place.
+    parts = rows.filter(split).withColumn(here, F.spark_partition_id()).withColumn(mark, F.xxhash64(text))
+    parts = written(parts, "mixing-parts")
+    groups = [name, place, mark, here]
+    counts = parts.groupBy(*groups).agg(F.count("*").alias(number))
+    ahead = W.partitionBy(name, place).orderBy(mark, here).rowsBetween(W.unboundedPreceding, -1)
     counts = counts.withColumn(number, F.coalesce(F.sum(number).over(ahead), F.lit(0)))
-    place = F.row_number().over(W.partitionBy(unit, mark, here).orderBy(F.lit(1)))
-    parts = parts.join(counts, [unit, mark, here]).withColumn(number, F.col(number) + place)
-    some = F.size(F.filter(f"{turns}.taken", lambda x: x >= F.col(number)))
+    turn = F.row_number().over(W.partitionBy(*groups).orderBy(F.lit(1)))
+    parts = join_by(parts, counts, groups).withColumn(number, F.col(number) + turn)
+    some = F.filter(cuts, lambda c: (within < c["at"]) | ((within == c["at"]) & (F.col(number) <= c["taken"])))
 
-    def repeated(df: DataFrame, n: Column) -> DataFrame:
-        again = df.withColumn(here, F.explode(F.sequence(F.lit(0), n))).filter(F.col(here) > 0)
+    def repeated(df: DataFrame, rounds: Column) -> DataFrame:
+        again = df.withColumn(cuts, F.explode(F.sequence(F.lit(0), F.size(rounds)))).filter(F.col(cuts) > 0)
         return again.select(*[F.col(f"`{c}`") for c in docs.columns])
 
-    return repeated(rows.filter(whole), times).unionByName(repeated(parts, some))
+    return repeated(rows.filter(~split), whole).unionByName(repeated(parts, some))
