@@ -31,6 +31,7 @@ HEADLINE = [
     "dedup_clusters",
     "dedup_rows",
     "encoded_tokens",
+    "encoded_words",
     "classification_metrics",
     "regression_metrics",
     "spearman",
@@ -42,6 +43,10 @@ HEADLINE = [
     "batch_score",
     "classifier_data",
     "regressor_data",
+    "prediction_report",
+    "train_classifier",
+    "train_regressor",
+    "history_log",
 ]
 
 
