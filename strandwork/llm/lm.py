@@ -10,14 +10,14 @@ a fixed grid with the best leave-one-out likelihood of all training tokens.
 
 The counts are gathered over all training texts by the packed exchange of ``chunks``: each chunk gets the
 counts of exactly the n-grams that occur in it, which make the part of the automaton its texts can reach.
-Its histories become numbered states. One traversal carries the state of every text from left to right: it
-takes the arc of the next token, or failure arcs until there is one, and adds up the weights.
+Its histories become numbered states. From the state it has reached a text takes the arc of the next token,
+or failure arcs until there is one, and adds up the weights.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -148,10 +148,8 @@ class Automaton:
         return out
 
     def _draw_arcs(self) -> None:
-        every = np.arange(self.n_words_here)
         self.root = np.repeat(np.log10(self.unigram())[:, None], len(self.strengths), axis=1)
-        self.root_to = np.where(self.state[0] >= 0, self.state[0], self.ROOT) if self.state else np.zeros_like(every)
-        keys, weights, to = [np.empty(0, np.int64)], [np.empty((0, len(self.strengths)))], [np.empty(0, np.int64)]
+        keys, weights = [np.empty(0, np.int64)], [np.empty((0, len(self.strengths)))]
         for n in range(2, len(self.counts) + 1):
             where = self._seen_at(n)
             at = where[(where >= 0) & (self.counts[n - 1] > 0)]
@@ -161,10 +159,9 @@ class Automaton:
                 source = self.state[n - 2][self.tokens.at[n - 2][at - 1]]
             keys.append(source * self.n_words_here + self.tokens.at[0][at])
             weights.append(np.log10(self._chance(at, n)))
-            to.append(self._longest(at, n))
         flat = np.concatenate(keys)
         order = np.argsort(flat, kind="stable")
-        self.keys, self.weight, self.to = flat[order], np.concatenate(weights)[order], np.concatenate(to)[order]
+        self.keys, self.weight = flat[order], np.concatenate(weights)[order]
 
     def _chance(self, at: np.ndarray, most: int, less: int = 0) -> np.ndarray:
         """P(token | up to ``most - 1`` tokens ahead of it) at some positions, one column per strength."""
@@ -177,43 +174,49 @@ class Automaton:
         return chance
 
     def traverse(self) -> np.ndarray:
-        """log10 weight of every text, one column per strength; the texts go on side by side, a token at a time."""
-        counts, starts, words = self.tokens.counts, self.tokens.starts[:-1], self.tokens.at[0]
-        lanes = np.argsort(-counts, kind="stable")
-        longest = -counts[lanes]
-        state = np.full(len(lanes), self.BEGIN if self.state else self.ROOT)
-        total = np.zeros((len(lanes), len(self.strengths)))
-        for step in range(int(counts.max(initial=0))):
-            live = int(np.searchsorted(longest, -step, "left"))
-            word = words[starts[lanes[:live]] + step]
-            waiting = np.arange(live)
+        """log10 weight of every text, one column per strength.
+
+        The state that a traversal carries to a token is the longest history known there, so the states of a
+        run of tokens are set side by side, and all of them take their arcs, or failure arcs until there is one.
+        """
+
+        def weights(at: np.ndarray) -> np.ndarray:
+            state = np.where(
+                self.tokens.place[at] == 0, self.BEGIN if self.state else self.ROOT, self._longest(at - 1, len(self.state))
+            )
+            token = self.tokens.at[0][at]
+            total = np.zeros((len(at), len(self.strengths)))
+            waiting = np.arange(len(at))
             while len(waiting):
-                at, token = state[waiting], word[waiting]
-                key = at * self.n_words_here + token
+                here, word = state[waiting], token[waiting]
+                key = here * self.n_words_here + word
                 arc = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
-                taken = self.keys[arc] == key if len(self.keys) else np.zeros(len(key), bool)
-                root = at == self.ROOT
-                taken &= ~root
+                root = here == self.ROOT
+                taken = ~root & (self.keys[arc] == key) if len(self.keys) else np.zeros(len(key), bool)
                 total[waiting[taken]] += self.weight[arc[taken]]
-                total[waiting[root]] += self.root[token[root]]
-                state[waiting[taken]] = self.to[arc[taken]]
-                state[waiting[root]] = self.root_to[token[root]]
+                total[waiting[root]] += self.root[word[root]]
                 back = ~(taken | root)
-                total[waiting[back]] += self.failure[at[back]]
-                state[waiting[back]] = self.fail[at[back]]
                 waiting = waiting[back]
-        out = np.empty_like(total)
-        out[lanes] = total
-        return out
+                total[waiting] += self.failure[here[back]]
+                state[waiting] = self.fail[here[back]]
+            return total
+
+        return self._per_text(weights)
 
     def left_out(self) -> np.ndarray:
         """log10 chance of every text with each token's own occurrence left out of all counts (training texts)."""
-        n = len(self.tokens.place)
-        parts = [np.empty((0, len(self.strengths)))]
-        for i in range(0, n, 1 << 18):
-            at = np.arange(i, min(n, i + (1 << 18)))
-            parts.append(np.log10(self._chance(at, len(self.counts), 1)))
-        return np.add.reduceat(np.concatenate(parts), self.tokens.starts[:-1], axis=0) if n else parts[0]
+        return self._per_text(lambda at: np.log10(self._chance(at, len(self.counts), 1)))
+
+    def _per_text(self, values: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """Sums over the tokens of each text, a run of tokens at a time."""
+        counts = self.tokens.counts
+        text = np.repeat(np.arange(len(counts)), counts)
+        out = np.zeros((len(counts), len(self.strengths)))
+        for i in range(0, len(text), 1 << 18):
+            at = np.arange(i, min(len(text), i + (1 << 18)))
+            for k, column in enumerate(values(at).T):
+                out[:, k] += np.bincount(text[at], weights=column, minlength=len(counts))
+        return out
 
 
 def _per_text(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
