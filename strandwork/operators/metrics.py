@@ -16,6 +16,9 @@ from strandwork.functions.binning import usable
 from strandwork.functions.labels import cross_entropy
 from strandwork.sources.session import held, written
 
+#: Rows that one task ranks.
+RANK_ROWS = 500_000
+
 
 def confusion(df: DataFrame, truth: str, prediction: str, by: Sequence[str] = ()) -> DataFrame:
     """``(*by, tn, fp, fn, tp)``: rows are the truth, read left to right."""
@@ -118,7 +121,8 @@ def average_ranks(df: DataFrame, column: str, *, by: Sequence[str] = (), into: s
     go on in another part: from the counts of these, a few numbers per part, every part learns how many rows
     come ahead of it and how often its first and last value occur in all.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A part is sorted by one task: there are as many as it takes, whatever the session's number.
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANK_ROWS))
     mark = F.xxhash64(*df.columns, F.monotonically_increasing_id())
     ranged = df.withColumn("_mark", mark).repartitionByRange(parts, *by, column, "_mark").drop("_mark")
     ranged = written(ranged.withColumn("_part", F.spark_partition_id()), "ranks")
@@ -146,6 +150,7 @@ def average_ranks(df: DataFrame, column: str, *, by: Sequence[str] = (), into: s
         found = whole.withColumnsRenamed({"_value": name, "_middle": f"{name}_rank"})
         ends = join_by(ends, found, [*by, name])
     joined = attach(ranged, ends.select(*groups, "_low", "_high", "_ahead", "_low_rank", "_high_rank"), groups)
+    joined = joined.repartition(parts, *groups)
     local = Window.partitionBy(*groups).orderBy(column)
     rank = F.rank().over(local)
     times = F.count(F.lit(1)).over(Window.partitionBy(*groups, column))

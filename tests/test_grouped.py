@@ -136,3 +136,18 @@ def test_density_moves_cells_not_values(spark):
     rows = rows_of(spark, 20_000)
     plan = errors.density(rows, "error")._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [x#" not in plan and "cell#" in plan
+
+
+def test_no_task_ranks_many_rows(spark, monkeypatch):
+    """The parts of a ranking follow the rows, not the session's number of partitions."""
+    from strandwork.operators import metrics
+
+    monkeypatch.setattr(metrics, "RANK_ROWS", 50)
+    kept = []
+    written = metrics.written
+    monkeypatch.setattr(metrics, "written", lambda df, name: kept.append(written(df, name)) or kept[-1])
+    rows = spark.range(1000).select("id", (F.col("id") * 7 % 250).cast("double").alias("v"))
+    got = {r.id: r.rank for r in metrics.average_ranks(rows, "v").collect()}
+    values = sorted(i * 7 % 250 for i in range(1000))
+    assert got == {i: values.index(i * 7 % 250) + 2.5 for i in range(1000)}
+    assert max(r["count"] for r in kept[0].groupBy("_part").count().collect()) < 150
