@@ -121,10 +121,12 @@ class PieceEncoder:
         sizes = end - begin
         differ = offsets[slots + 1] - offsets[slots] != sizes
         same = np.flatnonzero(~differ)
+        tiled = len(same) == len(begin) and int(sizes.sum()) == len(run.data)  # then pieces follow each other
         sizes, stops = sizes[same], np.cumsum(sizes[same])
         steps = np.arange(int(stops[-1]) if len(stops) else 0)
-        mine = run.data[np.repeat(begin[same] - (stops - sizes), sizes) + steps]
-        theirs = self.bytes.array[np.repeat(offsets[slots[same]] - (stops - sizes), sizes) + steps]
+        mine = run.data if tiled else run.data[np.repeat(begin[same] - (stops - sizes), sizes) + steps]
+        steps += np.repeat(offsets[slots[same]] - (stops - sizes), sizes)
+        theirs = self.bytes.array[steps]
         differ[same[np.searchsorted(stops, np.flatnonzero(mine != theirs), "right")]] = True
         return differ
 
@@ -151,9 +153,11 @@ class PieceEncoder:
     def _learn(self, run: Texts, keys: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
         slots = len(self.begin.array) - 1 + np.arange(len(keys))
         stops = np.cumsum(end - begin)
+        single = self.words.single(run.data, begin, end)
+        data = run.data.tobytes()
         for part in np.split(np.arange(len(keys)), np.flatnonzero(np.diff(stops // _LINE_BYTES)) + 1):
-            whole = [run.data[a:b].tobytes() for a, b in zip(begin[part].tolist(), end[part].tolist(), strict=True)]
-            ids, lengths = self._ids([w.decode() for w in whole])
+            whole = [data[a:b] for a, b in zip(begin[part].tolist(), end[part].tolist(), strict=True)]
+            ids, lengths = self._ids(whole, single[part].tolist())
             self.begin.add(self.begin.array[-1] + np.cumsum(lengths))
             self.ids.add(ids)
             self.bytes.add(np.frombuffer(b"".join(whole), np.uint8))
@@ -162,12 +166,13 @@ class PieceEncoder:
         self.keys = np.insert(self.keys, places, keys)
         self.slot = np.insert(self.slot, places, slots)
 
-    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _ids(self, pieces: list[bytes], single: list[bool]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces: word by word where the words are plain, else by the whole tokenizer."""
-        found = [self.words.of(p) for p in pieces]
+        merge, of = self.words.merged, self.words.of
+        found = [merge(p) if s else of(p.decode()) for p, s in zip(pieces, single, strict=True)]
         rest = [i for i, f in enumerate(found) if f is None]
         if rest:
-            ids, lengths = self._encoded([pieces[i] for i in rest])
+            ids, lengths = self._encoded([pieces[i].decode() for i in rest])
             for i, part in zip(rest, np.split(ids, np.cumsum(lengths)[:-1]), strict=True):
                 found[i] = part.tolist()
         flat = np.fromiter(chain.from_iterable(found), np.uint32)
@@ -202,6 +207,11 @@ _WORD = (
 )
 #: Letters up to here are letters in any version of Unicode.
 _PLAIN = "\u0250"
+#: How byte-level BPE shows a space.
+_SPACE = "\u0120"
+_LETTER, _DIGIT = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[ord(c) for c in string.ascii_letters]] = True
+_DIGIT[[ord(c) for c in string.digits]] = True
 _MOST_WORDS = 100_000
 
 
@@ -225,6 +235,24 @@ class _WordIds:
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
         self.known: dict[str, list[int]] = {}
+        # A token without a blank may be taken out of the midst of such a piece.
+        self.lone = self.usable and not any(a.isascii() and a.lstrip(" ").isalnum() for a in self.added)
+
+    def single(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Pieces that are one word as they are: ASCII letters only, or digits only, after a space or none."""
+        if not self.lone:
+            return np.zeros(len(begin), bool)
+        body = begin + (data[begin] == 0x20)
+        same = np.zeros(len(begin), bool)
+        for kind in (_LETTER, _DIGIT):
+            sums = np.zeros(len(data) + 1, np.int32)
+            np.cumsum(kind[data], out=sums[1:])
+            same |= sums[end] - sums[body] == end - body
+        return same & (body < end)
+
+    def merged(self, word: bytes) -> list[int]:
+        """Ids of one ASCII word; it is not kept, as its piece is."""
+        return [t.id for t in self.model.tokenize(word.decode().replace(" ", _SPACE))]
 
     def of(self, piece: str) -> list[int] | None:
         if not self.usable or not (piece.isascii() or max(piece) < _PLAIN) or any(a in piece for a in self.added):
@@ -298,8 +326,9 @@ def _pieces(run: Texts, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     before[run.starts] = True
     word = ~blank
     starts = np.flatnonzero(word & before[:-1])
-    inside = np.ones(len(starts), bool)
-    inside[np.isin(starts, run.starts)] = False  # nothing before it in its text
+    first = np.zeros(n + 1, bool)
+    first[run.starts] = True
+    inside = ~first[starts]  # else nothing is before it in its text
     previous = starts[inside] - 1
     spaced = data[previous] == 0x20
     opens[previous] = True  # a space goes with the word, a newline stands alone
