@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.regression import LinearRegression
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandwork.functions.sequences import kgrams
+from strandwork.sources.session import written
 
 Scorer = Callable[[list], np.ndarray]
 
@@ -57,6 +58,12 @@ def with_grams(df: DataFrame, sequence: str, k: int = 3) -> DataFrame:
     return df.withColumn("_grams", kgrams(F.col(sequence), k))
 
 
+def _fitted(model, hashing: HashingTF, df: DataFrame, sequence: str, columns: list[str], k: int) -> PipelineModel:
+    """The pipeline fitted on hashed k-grams, which are computed once and written: each pass of the fit reads them."""
+    hashed = hashing.transform(with_grams(df.select(sequence, *columns), sequence, k)).select(*columns, "_features")
+    return PipelineModel(stages=[hashing, model.fit(written(hashed, "hashed-grams"))])
+
+
 def train_classifier(
     df: DataFrame,
     sequence: str,
@@ -72,7 +79,7 @@ def train_classifier(
     model = LogisticRegression(featuresCol="_features", labelCol=label, maxIter=iterations, regParam=0.01)
     if weight:
         model = model.setWeightCol(weight)
-    return Pipeline(stages=[hashing, model]).fit(with_grams(df, sequence, k))
+    return _fitted(model, hashing, df, sequence, [label, *([weight] if weight else [])], k)
 
 
 def train_regressor(
@@ -83,7 +90,7 @@ def train_regressor(
     model = LinearRegression(
         featuresCol="_features", labelCol=label, maxIter=iterations, regParam=0.1, solver="l-bfgs"
     )
-    return Pipeline(stages=[hashing, model]).fit(with_grams(df, sequence, k))
+    return _fitted(model, hashing, df, sequence, [label], k)
 
 
 def apply_model(model, df: DataFrame, sequence: str, keep: list[str], k: int = 3) -> DataFrame:
