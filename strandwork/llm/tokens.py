@@ -35,10 +35,12 @@ STRIDE = 1024
 BLOCK_IDS = 1 << 16
 MOST_BITS = 16
 
-_RUN_BYTES = 384 << 10
+_RUN_BYTES = 256 << 10
 #: Bytes that a worker keeps of pieces it has encoded, and of pieces that it encodes at a time.
 _KEPT_BYTES = 32 << 20
 _LINE_BYTES = 64 << 10
+#: Pieces whose values are gathered at a time.
+_GATHERED = 1 << 15
 #: Ids of one part of the files.
 _PART_IDS = 32 << 20
 
@@ -52,8 +54,8 @@ class PieceEncoder:
     The pre-tokeniser of byte-level BPE never joins what stands before a space that precedes a word, nor
     the words on both sides of a newline. Between such places a text is cut into pieces, each distinct
     piece is encoded once by the tokenizers library, and remembered by the worker for later batches, up to
-    a number of bytes. Pieces are found by a hash, and every one is compared with the bytes remembered. A
-    text with any other white space, where these places differ, is encoded whole, as is one with a piece
+    a number of bytes; beyond them, pieces that came once are forgotten. Pieces are found by a hash, and
+    every one is compared with the bytes remembered. A text with any other white space, where these places differ, is encoded whole, as is one with a piece
     that shares its hash with another.
     """
 
@@ -78,7 +80,8 @@ class PieceEncoder:
 
     def forget(self) -> None:
         self.keys = np.empty(0, np.uint64)
-        self.slot = np.empty(0, np.int64)  # of each key, ascending keys
+        self.slot = np.empty(0, np.int32)  # of each key, ascending keys
+        self.runs = np.empty(0, np.uint8)  # of each key: the runs it was in, 255 for any more
         self.begin = _Grown(np.zeros(1, np.int64))  # of each slot in ``ids``, one more at the end
         self.ids = _Grown(np.empty(0, np.uint32))
         self.bytes_begin = _Grown(np.zeros(1, np.int64))  # the same for the text of the pieces
@@ -86,7 +89,21 @@ class PieceEncoder:
 
     def kept_bytes(self) -> int:
         held = (self.begin, self.ids, self.bytes_begin, self.bytes)
-        return self.keys.nbytes + self.slot.nbytes + sum(h.data.nbytes for h in held)
+        return self.keys.nbytes + self.slot.nbytes + self.runs.nbytes + sum(h.data.nbytes for h in held)
+
+    def forget_rare(self) -> None:
+        """Keeps the pieces of most runs, half of the bytes at most; what they earned counts half from here on."""
+        size = 37 + 4 * np.diff(self.begin.array)[self.slot] + np.diff(self.bytes_begin.array)[self.slot]
+        held = np.cumsum(np.bincount(self.runs, weights=size, minlength=256)[::-1])[::-1]
+        least = max(2, int(np.argmax(np.append(held, 0) <= _KEPT_BYTES // 2)))
+        kept = np.flatnonzero(self.runs >= least)
+        kept = kept[np.argsort(self.slot[kept])]  # slots keep their order
+        slots, keys, runs = self.slot[kept], self.keys[kept], self.runs[kept] >> 1
+        ids, begin = _gathered(self.ids.array, self.begin.array, slots)
+        data, bytes_begin = _gathered(self.bytes.array, self.bytes_begin.array, slots)
+        self.begin, self.ids, self.bytes_begin, self.bytes = map(_Grown, (begin, ids, bytes_begin, data))
+        order = np.argsort(keys)
+        self.keys, self.slot, self.runs = keys[order], order.astype(np.int32), runs[order]
 
     def encode(self, run: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a run of texts, and how many each text has."""
@@ -140,7 +157,7 @@ class PieceEncoder:
 
     def _slots(self, run: Texts, keys: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         if self.kept_bytes() > _KEPT_BYTES:
-            self.forget()
+            self.forget_rare()
         at = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), bool)
         if len(self.keys):
@@ -148,16 +165,16 @@ class PieceEncoder:
         if not known.all():
             self._learn(run, keys[~known], begin[~known], end[~known])
             at = np.searchsorted(self.keys, keys)
-        return self.slot[at]
+        self.runs[at] += self.runs[at] < 255
+        return self.slot[at].astype(np.int64)
 
     def _learn(self, run: Texts, keys: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
         slots = len(self.begin.array) - 1 + np.arange(len(keys))
         stops = np.cumsum(end - begin)
-        single = self.words.single(run.data, begin, end)
         data = run.data.tobytes()
         for part in np.split(np.arange(len(keys)), np.flatnonzero(np.diff(stops // _LINE_BYTES)) + 1):
             whole = [data[a:b] for a, b in zip(begin[part].tolist(), end[part].tolist(), strict=True)]
-            ids, lengths = self._ids(whole, single[part].tolist())
+            ids, lengths = self._ids(whole)
             self.begin.add(self.begin.array[-1] + np.cumsum(lengths))
             self.ids.add(ids)
             self.bytes.add(np.frombuffer(b"".join(whole), np.uint8))
@@ -165,18 +182,29 @@ class PieceEncoder:
         places = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, places, keys)
         self.slot = np.insert(self.slot, places, slots)
+        self.runs = np.insert(self.runs, places, 0)
 
-    def _ids(self, pieces: list[bytes], single: list[bool]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces: word by word where the words are plain, else by the whole tokenizer."""
-        merge, of = self.words.merged, self.words.of
-        found = [merge(p) if s else of(p.decode()) for p, s in zip(pieces, single, strict=True)]
+    def _ids(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces: straight from the merges where the words are plain, else by the whole tokenizer."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        stops = np.cumsum(sizes)
+        single = self.words.single(np.frombuffer(b"".join(pieces), np.uint8), stops - sizes, stops)
+        flat, lengths = self.words.merged([pieces[i] for i in np.flatnonzero(single).tolist()])
+        if single.all():
+            return flat, lengths
+        others = [pieces[i].decode() for i in np.flatnonzero(~single).tolist()]
+        found = self.words.of(others)
         rest = [i for i, f in enumerate(found) if f is None]
         if rest:
-            ids, lengths = self._encoded([pieces[i].decode() for i in rest])
-            for i, part in zip(rest, np.split(ids, np.cumsum(lengths)[:-1]), strict=True):
+            ids, counts = self._encoded([others[i] for i in rest])
+            for i, part in zip(rest, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
                 found[i] = part.tolist()
-        flat = np.fromiter(chain.from_iterable(found), np.uint32)
-        return flat, np.fromiter(map(len, found), np.int64, len(found))
+        every = np.empty(len(pieces), np.int64)
+        every[single], every[~single] = lengths, np.fromiter(map(len, found), np.int64, len(found))
+        mine = np.repeat(single, every)
+        out = np.empty(len(mine), np.uint32)
+        out[mine], out[~mine] = flat, np.fromiter(chain.from_iterable(found), np.uint32)
+        return out, every
 
     def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of one line are encoded together, with a newline after each, and cut at its id again."""
@@ -208,11 +236,11 @@ _WORD = (
 #: Letters up to here are letters in any version of Unicode.
 _PLAIN = "\u0250"
 #: How byte-level BPE shows a space.
-_SPACE = "\u0120"
 _LETTER, _DIGIT = np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[[ord(c) for c in string.ascii_letters]] = True
 _DIGIT[[ord(c) for c in string.digits]] = True
-_MOST_WORDS = 100_000
+#: Words that are merged in one call.
+_MERGED = 64
 
 
 class _WordIds:
@@ -234,42 +262,74 @@ class _WordIds:
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in shown]
         self.letters = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
-        self.known: dict[str, list[int]] = {}
+        self.apart = self.usable and self._apart(tokenizer)
         # A token without a blank may be taken out of the midst of such a piece.
-        self.lone = self.usable and not any(a.isascii() and a.lstrip(" ").isalnum() for a in self.added)
+        self.lone = self.apart and not any(a.lstrip(" ").isalnum() for a in self.added)
+
+    def _apart(self, tokenizer) -> bool:
+        """Is there a byte that no text holds and that merges with nothing? Words on both sides of it stay apart."""
+        model = json.loads(tokenizer.to_str())["model"]
+        special = ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")
+        self.mark = chr(self.letters[0xFF])
+        self.mark_id = tokenizer.token_to_id(self.mark)
+        return (
+            not any(model.get(name) for name in special)
+            and self.mark_id is not None
+            and sum(self.mark in token for token in model["vocab"]) == 1
+        )
 
     def single(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Pieces that are one word as they are: ASCII letters only, or digits only, after a space or none."""
+        """Pieces that are one word as they are: letters below ``_PLAIN`` only, or digits only, after a space or none."""
         if not self.lone:
             return np.zeros(len(begin), bool)
         body = begin + (data[begin] == 0x20)
         same = np.zeros(len(begin), bool)
-        for kind in (_LETTER, _DIGIT):
+        letter = _LETTER[data]
+        lead = (data[:-1] >= 0xC3) & (data[:-1] <= 0xC8)
+        lead &= (data[:-1] != 0xC3) | ((data[1:] != 0x97) & (data[1:] != 0xB7))  # signs of multiplication and division
+        letter[:-1] |= lead
+        letter[1:] |= lead
+        for kind in (letter, _DIGIT[data]):
             sums = np.zeros(len(data) + 1, np.int32)
-            np.cumsum(kind[data], out=sums[1:])
+            np.cumsum(kind, out=sums[1:])
             same |= sums[end] - sums[body] == end - body
         return same & (body < end)
 
-    def merged(self, word: bytes) -> list[int]:
-        """Ids of one ASCII word; it is not kept, as its piece is."""
-        return [t.id for t in self.model.tokenize(word.decode().replace(" ", _SPACE))]
-
-    def of(self, piece: str) -> list[int] | None:
-        if not self.usable or not (piece.isascii() or max(piece) < _PLAIN) or any(a in piece for a in self.added):
-            return None
-        words = self.find(piece)
-        if len(words) == 1:
-            return self._word(words[0])
-        return [i for w in words for i in self._word(w)]
-
-    def _word(self, word: str) -> list[int]:
-        ids = self.known.get(word)
-        if ids is None:
-            ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
-            if len(self.known) >= _MOST_WORDS:
-                self.known.clear()
-            self.known[word] = ids
-        return ids
+    def merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of single words, and how many each has; they are not kept, as their pieces are."""
+        ids = []
+        for i in range(0, len(words), _MERGED):
+            line = b"\xff".join([*words[i : i + _MERGED], b""]).decode("latin-1").translate(self.letters)
+            ids.append(np.array([t.id for t in self.model.tokenize(line)], np.uint32))
+        flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
+        ends = flat == (self.mark_id if ids else 0)
+        return flat[~ends], np.diff(np.flatnonzero(ends), prepend=-1) - 1
+
+    def of(self, pieces: list[str]) -> list[list[int] | None]:
+        """Ids of pieces of any words, None for those that are left to the tokenizer."""
+        found: list[list[int] | None] = [None] * len(pieces)
+        if not self.apart:
+            return found
+        mine = [i for i, p in enumerate(pieces) if (p.isascii() or max(p) < _PLAIN) and not any(a in p for a in self.added)]
+        words = [self.find(pieces[i]) for i in mine]
+        flat, lengths = self.merged([w.encode() for w in chain.from_iterable(words)])
+        stops = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([0, *map(len, words)])].tolist()
+        ids = flat.tolist()
+        for i, a, b in zip(mine, stops[:-1], stops[1:], strict=True):
+            found[i] = ids[a:b]
+        return found
+
+
+def _gathered(values: np.ndarray, begin: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of some slots back to back, and where each begins (one more at the end)."""
+    sizes = begin[slots + 1] - begin[slots]
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    out = np.empty(starts[-1], values.dtype)
+    for i in range(0, len(slots), _GATHERED):
+        j = min(i + _GATHERED, len(slots))
+        shift = np.repeat(begin[slots[i:j]] - starts[i:j], sizes[i:j])
+        out[starts[i] : starts[j]] = values[shift + np.arange(starts[i], starts[j])]
+    return out, starts
 
 
 class _Grown:

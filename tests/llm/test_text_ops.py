@@ -696,3 +696,48 @@ print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
 """
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=tmp_path, env={**__import__("os").environ, "PYTHONPATH": ":".join(sys.path)})
     assert int(done.stdout) < 250, done.stdout + done.stderr
+
+
+def test_frequent_pieces_stay_known(monkeypatch):
+    """When the memory of pieces is full, those of several runs stay; the ids do not change."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from strandwork.llm.words import texts as runs
+
+    monkeypatch.setattr(tokens, "_KEPT_BYTES", 200_000)
+    common = [" ".join(f"été{i} naïveté maïs über{chr(97 + i % 26)} Ångström word {i}x{i}" for i in range(300))]
+    encoder, whole = tokens.PieceEncoder(BPE), Tokenizer.from_file(BPE)
+    learned, learn = [], encoder._learn
+
+    def counted(run, keys, begin, end):
+        learned.extend(run.data[a:b].tobytes() for a, b in zip(begin, end, strict=True))
+        learn(run, keys, begin, end)
+
+    monkeypatch.setattr(encoder, "_learn", counted)
+    for turn in range(40):
+        text = common + [" ".join(f"rare{turn}z{i}" for i in range(300))]
+        for run in runs(pa.array(text)):
+            ids, sizes = encoder.encode(run)
+            assert [p.tolist() for p in np.split(ids, np.cumsum(sizes)[:-1])] == [e.ids for e in whole.encode_batch_fast(text, add_special_tokens=False)]
+        assert encoder.kept_bytes() < 300_000
+    assert learned.count(" naïveté".encode()) == 1 and learned.count(" rare0z5".encode()) == 1
+
+
+def test_latin_words_are_single_pieces():
+    data = np.frombuffer(" été ×a b÷ ÿ Āɏ abc12 12 ȿ ".encode(), np.uint8)
+    cuts = np.flatnonzero(data == 0x20)
+    single = tokens.PieceEncoder(BPE).words.single(data, cuts[:-1], cuts[1:])
+    assert single.tolist() == [True, False, False, True, False, False, True, True]
+
+
+def test_words_merged_together_stay_apart():
+    """Many words in one call to the merges have the ids that each has alone."""
+    from tokenizers import Tokenizer
+
+    encoder, whole = tokens.PieceEncoder(BPE), Tokenizer.from_file(BPE)
+    pieces = [f"{a}{w}" for w in ("the", "été", "ÿÿ", "xqzjk", "Straße", "a", "0123456789", "ĀāȾ") for a in (" ", "")] * 30
+    flat, lengths = encoder.words.merged([p.encode() for p in pieces])
+    assert encoder.words.lone
+    assert [p.tolist() for p in np.split(flat, np.cumsum(lengths)[:-1])] == [whole.encode(p, add_special_tokens=False).ids for p in pieces]
+    assert encoder.words.merged([])[1].tolist() == []
