@@ -121,3 +121,28 @@ def test_nan_never_wins_a_step(spark):
 
     rows = [("r", "m", 1, 0.5), ("r", "m", 1, float("nan")), ("r", "m", 1, 0.9)]
     assert once_per_step(spark.createDataFrame(rows, "run string, metric string, step int, value double")).first().value == 0.9
+
+
+@pytest.mark.parametrize("block", [7, 1 << 17])
+def test_signatures_permute_a_shared_gram_once(spark, monkeypatch, block):
+    """Rows that come together are worked off as one block; the minima are those of each row by itself."""
+    from strandwork.functions import minhash
+
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    sizes = []
+    permuted = minhash.permuted
+    monkeypatch.setattr(minhash, "permuted", lambda prints, *family: sizes.append(len(prints)) or permuted(prints, *family))
+    a, b = minhash.family(5)
+    texts = [None, "", "ab", "abcdefgh", "abcdefghi", "\U0001f600bcdefgh", "abc" * 9]
+    kept = {}
+    monkeypatch.setattr(minhash.F, "pandas_udf", lambda kind: lambda f: kept.update(f=f) or (lambda column: column))
+    minhash.signature(None, num_perm=5)
+    got = kept["f"](minhash.pd.Series(texts, dtype=object))
+
+    def one(text):
+        grams = {text[i : i + 3] for i in range(len(text) - 2)}
+        prints = [(ord(g[0]) * minhash.BASE**2 + ord(g[1]) * minhash.BASE + ord(g[2])) % minhash.PRIME for g in grams]
+        return [min((x * h + y) % minhash.PRIME for h in prints) for x, y in zip(a, b)] if grams else None
+
+    assert [None if g is None else g.tolist() for g in got] == [one(t or "") for t in texts]
+    assert sum(sizes) < 25 if block > 7 else max(sizes) <= 7
