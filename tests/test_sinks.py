@@ -72,3 +72,19 @@ def test_measures_are_taken_while_splits_are_written(spark, tmp_path):
     df = spark.range(30).withColumn("split", F.when(F.col("id") < 20, "train").otherwise("test"))
     seen = tables.save_splits(df, f"{tmp_path}/d", measures={"n": F.count(F.lit(1)), "n_train": F.count_if(F.col("split") == "train")})
     assert seen == {"n": 30, "n_train": 20} and tables.load_splits(spark, f"{tmp_path}/d", "test").count() == 10
+
+
+def test_regressor_rows_are_computed_once(spark, monkeypatch):
+    """The scans for the bins read a table of the job, which is gone when the job is done."""
+    from pathlib import Path
+
+    from strandwork.plans import jobs
+
+    read = []
+    undersample = jobs.bins.undersample_bins
+    monkeypatch.setattr(jobs.bins, "undersample_bins", lambda df, *a, **b: read.extend(df.inputFiles()) or undersample(df, *a, **b))
+    rows = spark.range(60).select("id", F.repeat(F.lit("abc"), F.col("id").cast("int") + 1).alias("seq"), (F.col("id") % 7).cast("double").alias("y"))
+    done = jobs.regressor_data(rows, id="id", sequence="seq", value="y", split_mode="random", num_bins=5)
+    assert read and all("regressor-data" in f for f in read)
+    assert not any(Path(f.removeprefix("file://")).exists() for f in read)
+    assert done.data.count() > 0 and done.bins.count() == 5
